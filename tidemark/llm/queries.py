@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact import exact_groups
 from .mixing import mix_plan
+from .simhash import near_groups
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +25,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
 }
