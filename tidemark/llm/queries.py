@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact import exact_groups
 from .mixing import mix_plan
+from .packing import pack
 from .simhash import near_groups
 
 
+def tokenizer_path() -> str:
+    """The public vocabulary that the packing contract names; a path that executors can read as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -24,10 +32,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
