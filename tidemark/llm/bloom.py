@@ -1,0 +1,80 @@
+"""A Bloom filter of 64-bit hashes, built in parallel and bounded in size."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+BLOCK_BITS = 1 << 15
+PROBES = 4
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit (the finaliser of SplitMix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def probes(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """Bit numbers of each hash: all in one block."""
+    block = (mixed(hashes) % np.uint64(blocks)).astype(np.int64)
+    own = mixed(~hashes)
+    return np.stack([block * BLOCK_BITS + (own >> np.uint64(15 * i)).astype(np.int64) % BLOCK_BITS for i in range(PROBES)], axis=1)
+
+
+def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return np.zeros(0, dtype=bool)
+    at = probes(hashes, len(bits) * 8 // BLOCK_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool).all(axis=1)
+
+
+def _blocks(blocks: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((blocks, BLOCK_BITS // 8), dtype=np.uint8)
+        for batch in batches:
+            at = probes(np.asarray(batch.column(0)).view(np.uint64), blocks).ravel()
+            np.bitwise_or.at(bits.ravel(), at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        used = np.flatnonzero(bits.any(axis=1))
+        for start in range(0, len(used), 1024):
+            part = used[start : start + 1024]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(part, pa.int32()), "bits": [zlib.compress(bits[i].tobytes(), 1) for i in part]})
+
+    return build
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block."""
+    now, bits = None, None
+    for batch in batches:
+        for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+            if block == now:
+                bits = bits | more
+            else:
+                if now is not None:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "bits": [zlib.compress(bits.tobytes(), 1)]})
+                now, bits = block, more
+    if now is not None:
+        yield pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "bits": [zlib.compress(bits.tobytes(), 1)]})
+
+
+def bloom_filter(hashes: DataFrame, rows: int, most_bits: int, bits_per_row: int = 16) -> np.ndarray:
+    """The filter of the single long column of ``hashes``, of ``most_bits`` bits at most.
+
+    With more rows than suit that bound, more other hashes are taken for members.
+    """
+    bits = BLOCK_BITS
+    while bits < min(rows * bits_per_row, most_bits):
+        bits *= 2
+    parts = hashes.mapInArrow(_blocks(bits // BLOCK_BITS), "block int, bits binary")
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), dtype=np.uint8)
+    for block, packed in parts.repartition("block").sortWithinPartitions("block").mapInArrow(_union, "block int, bits binary").collect():  # bounded by most_bits
+        out[block] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    return out.ravel()

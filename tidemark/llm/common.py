@@ -66,18 +66,19 @@ def null_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, which has one row per ``key`` and its row count.
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row per ``key`` and its row count in ``rows``.
 
     Groups with more than ``total / share`` rows, of which there are fewer than ``share``, are
     broadcast, so that a hot key's rows stay where they are; the rest meet in a shuffle.
     """
+    on = [key] if isinstance(key, str) else key
     most = max(total // share, 1000)
     hot = groups.filter(F.col(size) > most)
     cold = groups.filter(F.col(size) <= most)
     if total <= most:
-        return rows.join(groups, key)
-    names = [*rows.columns, *[c for c in groups.columns if c != key]]
-    hot_rows = rows.join(F.broadcast(hot), key).select(names)
-    cold_rows = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key).select(names)
+        return rows.join(groups, on)
+    names = [*rows.columns, *[c for c in groups.columns if c not in on]]
+    hot_rows = rows.join(F.broadcast(hot), on).select(names)
+    cold_rows = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on).select(names)
     return hot_rows.unionByName(cold_rows)

@@ -11,6 +11,7 @@ from .exact import exact_groups
 from .mixing import mix_plan
 from .packing import pack
 from .simhash import near_groups
+from .substrings import repeated_passages
 
 
 def tokenizer_path() -> str:
@@ -36,11 +37,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -67,6 +73,17 @@ p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
 SELECT doc_id, size, source_size, target,
   CAST(rounds * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - rounds * source_size - ahead)) AS BIGINT) AS taken
 FROM p""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d),
+h AS (SELECT doc_id, s, array_to_string(w[s : s + 49], ' ') AS k FROM s),
+m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS first FROM h),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, s + 50)) AS i FROM m WHERE first < doc_id) GROUP BY doc_id),
+u AS (SELECT d.doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+x AS (SELECT u.doc_id, array_to_string(list(word ORDER BY u.i), ' ') AS kept, count(*) AS n_kept
+      FROM u LEFT JOIN (SELECT doc_id, unnest(gone) AS i FROM g) r ON u.doc_id = r.doc_id AND u.i = r.i WHERE r.i IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
