@@ -14,7 +14,7 @@ def corpus(n=300):
     rows, labels = [], []
     for i in range(n):
         toxic = i % 5 == 0
-        rows.append((i, f"{base} {i} " + ("zorgfla you zorgbet are scum " if toxic else "calm water ") * 3))
+        rows.append((i, f"{base} {i} " + (f"zorg{'abcdefg'[i % 7]}la is zorg{'hijkm'[i % 3]}bet and scum " if toxic else "calm water ") * 3))
         labels.append((i, 1, int(toxic)))
     return rows, labels
 
