@@ -10,6 +10,7 @@ from .common import table
 from .exact import exact_groups
 from .mixing import mix_plan
 from .packing import pack
+from .quality import score_quality
 from .simhash import near_groups
 from .substrings import repeated_passages
 from .toxicity import score_toxicity
@@ -42,6 +43,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 
