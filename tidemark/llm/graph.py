@@ -23,7 +23,7 @@ def _small_star(links: DataFrame, total: int) -> DataFrame:
 
 
 def _trace(links: DataFrame) -> tuple[int, int, int]:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     return row[0], row[1], row[2]
 
 
