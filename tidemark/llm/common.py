@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch that carries texts; bounds a worker's memory when texts are long.
+#: Rows in an Arrow batch that carries texts, which bounds a worker's memory when texts are long; and in one of numbers.
 TEXT_BATCH = 256
+ROW_BATCH = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,11 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_batches(spark: SparkSession, rows: int) -> None:
+    """The size of the Arrow batches of what the session plans from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
     """Lower the session's Arrow batch size where it is above ``rows``."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
