@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, join_by_group, small_batches
+from .common import ROW_BATCH, TEXT_BATCH, Stage, arrow_batches, join_by_group
 from .graph import components
 
 MOST_BITS = 3
@@ -21,6 +21,8 @@ SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Rows of a key that are compared with each other; larger groups go by ``_flips``.
 PAIRED = 2048
+#: Links that a task gathers before it reduces them to a forest.
+HELD_PAIRS = 1 << 17
 
 #: Fixed value: a generator polynomial of the binary [23, 12, 7] Golay code.
 GENERATOR = 0b110001110101
@@ -205,7 +207,7 @@ def _paired(paired: int):
             again[1:] = key[1:] == key[:-1]
             again[:-1] |= again[1:]
             key, role, fp = key[again], role[again], fp[again]
-            a, b = [], []
+            a, b, held = [], [], 0
             here = np.arange(len(key))
             shift = 1
             while len(here := here[here + shift < len(key)]):
@@ -215,7 +217,11 @@ def _paired(paired: int):
                 near = here[(of == 1) & (np.bitwise_count(fp[here].view(np.uint64) ^ fp[there].view(np.uint64)) <= MOST_BITS)]
                 a.append(fp[near])
                 b.append(fp[near + shift])
+                held += len(near)
                 shift += 1
+                if held > HELD_PAIRS:
+                    x, y = forest(np.concatenate(a), np.concatenate(b))
+                    a, b, held = [x], [y], 0
             if a and len(a := np.concatenate(a)):
                 x, y = forest(a, np.concatenate(b))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
@@ -286,9 +292,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others. Repeated rows repeat in the result; a null id never is a component's name unless all its
     ids are null. Long texts are read whole. An empty table gives no rows. Other columns aren't read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    arrow_batches(docs.sparkSession, TEXT_BATCH)
     prints = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    arrow_batches(docs.sparkSession, ROW_BATCH)
     nodes = Stage(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(fingerprint_links(nodes.df.select("fp"), paired)).select(F.col("node").alias("fp"), "root")
     named = nodes.df.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
