@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now, not when the driver's garbage happens to be collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def null_key(c: Column) -> Column:
     """A non-null string that differs for null and every value, so that null joins null."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
