@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though a lambda in it reads the value for each of its elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def null_key(c: Column) -> Column:
     """A non-null string that differs for null and every value, so that null joins null."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))

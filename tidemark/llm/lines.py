@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, join_by_group, release
+from .common import Stage, join_by_group, let, release
 from .graph import components
 
 SHINGLE = 8
@@ -134,7 +134,7 @@ def _stripped(docs: DataFrame) -> DataFrame:
     gone = repeated_lines(keyed.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text"))
     met = keyed.join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_out")).hint("shuffle_hash"), "_row", "left")
     parts = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_out")), lambda i: F.element_at(parts, i + 1))
+    left = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_out")), lambda i: F.element_at(p, i + 1)))
     return met.select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_lines"), F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("_kept"))
 
 
