@@ -69,6 +69,11 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+def sheltered(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with all columns but ``own`` renamed by place, so that no helper column clashes; ``toDF`` gives them back."""
+    return docs.toDF(*[c if c in own else f"_in{i}" for i, c in enumerate(docs.columns)])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished jobs now, not when the driver's garbage happens to be collected."""
     gc.collect()

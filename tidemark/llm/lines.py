@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, join_by_group, let, release
+from .common import Stage, join_by_group, let, release, sheltered
 from .graph import components
 
 SHINGLE = 8
@@ -129,7 +129,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _stripped(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_lines, _gone`` (counts) and ``_kept`` (the text that stays)."""
+    """``docs``, sheltered, with ``_lines, _gone`` (counts) and ``_kept`` (the text that stays)."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     gone = repeated_lines(keyed.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text"))
     met = keyed.join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_out")).hint("shuffle_hash"), "_row", "left")
@@ -155,7 +155,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The input's rows and columns with those lines cut from ``text``; ``n_chars``, where there is one, follows."""
-    out = _stripped(docs).withColumn("text", F.col("_kept"))
+    rows = sheltered(docs, "doc_id", "text", "n_chars")
+    out = _stripped(rows).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(rows.columns).toDF(*docs.columns)

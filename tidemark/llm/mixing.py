@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Stage, null_key
+from .common import BLANK, WORD, Stage, null_key, sheltered
 
 #: Rows that a bucket of a source's random order should have, and the most hex digits of a bucket.
 BUCKET_ROWS = 4096
@@ -79,14 +79,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
     Returns the input's columns; ``n_chars``, where there is one, follows the text. Ids must be unique.
     """
-    plan = mix_plan(docs, weights, most).filter("taken > 0").select("doc_id", "size", "taken")
+    rows = sheltered(docs, "doc_id", "text", "source", "n_chars")
+    plan = mix_plan(rows, weights, most).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     full, part = F.expr("cast(_taken div _size as int)"), F.expr("_taken % _size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    named = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    out = docs.join(named, docs["doc_id"] == named["_id"]).withColumn("_words", F.explode(copies))
-    cut = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}{'[\\x20\\x09-\\x0D]*'})"), 1), 1, F.greatest(F.col("_words"), F.lit(1)).cast("int")), "")
-    out = out.withColumn("text", F.when(F.col("_words") > 0, F.rtrim(F.concat(cut, words))).otherwise(F.col("text")))
+    out = rows.join(plan, rows["doc_id"] == plan["_id"]).withColumn("_words", F.explode(copies))
+    lead = F.regexp_extract("text", rf"^(?:{BLANK})?", 0)
+    words = F.slice(F.regexp_extract_all("text", F.lit(rf"{WORD}(?:{BLANK})?"), 0), 1, F.greatest("_words", F.lit(1)).cast("int"))
+    cut = F.regexp_replace(F.concat(lead, F.array_join(words, "")), rf"(?:{BLANK})$", "")
+    out = out.withColumn("text", F.when(F.col("_words") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_words") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(rows.columns).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, contains, mixed
-from .common import Stage, join_by_group, small_batches
+from .common import Stage, join_by_group, sheltered, small_batches
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -195,7 +195,6 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WO
 
 def cut_repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """The input's rows and columns with those passages cut from ``text``; a text that loses any has its words joined by one space."""
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    safe = docs.select(*[F.col(c).alias("doc_id" if c == "doc_id" else "text" if c == "text" else n) for c, n in zip(docs.columns, names, strict=True)])
+    safe = sheltered(docs, "doc_id", "text")
     out = _marked(safe, window, seed).mapInArrow(_cut, safe.schema)
     return out.toDF(*docs.columns)
