@@ -102,7 +102,7 @@ def test_ring_overwrites_and_edges(spark):
     f = File(spark, ["a"], [(1, 6)], 1, "min")
     f.update(batch(spark, (6, 7, -3, 0), n=1), NOW)
     kept = {(r.slot_ts, r.value) for r in f.state.collect()}
-    assert kept == {(NOW - 6, 6.0), (NOW + 3, -3.0)}  # NOW - 6 and NOW share a place; the greater vector of NOW's slot is 0
+    assert kept == {(NOW, 0.0), (NOW + 3, -3.0)}  # NOW - 6 and NOW share a place; NOW - 7 is too old
     assert f.fetch(NOW + 5, NOW + 9, NOW) is None
     with pytest.raises(InvalidTime):
         f.fetch(NOW, NOW, NOW)

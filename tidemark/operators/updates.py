@@ -41,9 +41,10 @@ class File:
         self.state = spark.createDataFrame([], STATE)
 
     def _write(self, i: int, rows: DataFrame) -> None:
-        """Rows (slot_ts, pos, value) replace whatever their ring places held."""
+        """Rows (slot_ts, pos, value) replace whatever their ring places held; of rows for one place the newest slot does."""
         a: Archive = self.archives[i]
         ring = ring_slot(F.col("slot_ts"), a.step, a.count)
+        rows = rows.groupBy(ring.alias("ring"), "pos").agg(F.max(F.struct("slot_ts", "value")).alias("kept")).select("pos", "kept.*")
         taken = rows.select(F.lit(i).alias("archive"), ring.alias("ring")).distinct()
         kept = self.state.withColumn("ring", F.when(F.col("archive") == i, ring)).join(taken, ["archive", "ring"], "left_anti").drop("ring")
         self.state = self.checkpoint(kept.unionByName(rows.withColumn("archive", F.lit(i))))
