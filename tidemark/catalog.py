@@ -249,6 +249,33 @@ def rebuild_index(spark, sf_dir):
     return admin.rebuild_index(admin.files_of(index(spark, sf_dir), 8))
 
 
+@query(f"WITH {INDEX} SELECT metric, '/link/' || instance || '/' || replace(metric, '.', '/') || '.hs' AS link, '/data/' || instance || '/' || schema || '/' || file_id || '.hs' AS file FROM ix")
+def rebuild_links(spark, sf_dir):
+    return admin.links(index(spark, sf_dir), "/link", "/data")
+
+
+@query(f"WITH {INDEX}, f AS (SELECT instance, schema, file_id FROM ix GROUP BY ALL HAVING count(*) FILTER (WHERE NOT regexp_matches(metric, 'click$')) = 0) SELECT * FROM f")
+def empty_files(spark, sf_dir):
+    ix = index(spark, sf_dir)
+    kept = ix.withColumn("metric", F.when(F.col("metric").rlike("click$"), "").otherwise(F.col("metric")))
+    return admin.empty_files(admin.files_of(kept, 8))
+
+
+@query(f"WITH {EV}, b AS (SELECT metric, min(ts) AS start_ts, CAST(length(metric) * 86400 AS BIGINT) AS retention FROM ev GROUP BY 1) SELECT * FROM b WHERE {NOW - 20 * 86400} - start_ts - retention >= 10")
+def buffers_due(spark, sf_dir):
+    from .streaming.ingest import flushable
+
+    b = events(spark, sf_dir).groupBy("metric").agg(F.min("ts").alias("start_ts")).withColumn("retention", (F.length("metric") * 86400).cast("bigint"))
+    return flushable(b, NOW - 20 * 86400)
+
+
+@query(f"WITH {L0} SELECT slot_ts AS ts, value FROM l0 WHERE metric = 'click' AND slot_ts < {NOW - 86400 + 300} // 600 * 600")
+def hot_read(spark, sf_dir):
+    from .streaming.ingest import hot_read as read
+
+    return read(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), "click", 600, NOW - 86400 + 300)
+
+
 @query(f"WITH {INDEX}, c AS (SELECT instance, schema, file_id, 8 - count(*) AS free FROM ix GROUP BY ALL) SELECT instance, schema, file_id, CAST(free AS INTEGER) AS free FROM c")
 def free_positions(spark, sf_dir):
     return admin.free_positions(admin.files_of(index(spark, sf_dir), 8))

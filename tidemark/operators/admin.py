@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fnv1a, self_metric, slot_floor
+from ..functions.scalars import data_path, fnv1a, metric_path, self_metric, slot_floor
 from ..plans.archives import archives, array_of
 from .timeline import align, cascade
 
@@ -45,6 +45,12 @@ def rebuild_index(files: DataFrame) -> DataFrame:
     return files.select("instance", "schema", "file_id", F.posexplode("tags").alias("pos", "metric")).filter("metric <> ''").select("metric", "instance", "schema", "file_id", "pos")
 
 
+def links(index: DataFrame, link_root: str, data_root: str) -> DataFrame:
+    """Each metric's link and the packed file it leads to."""
+    link = metric_path(F.concat_ws("/", F.lit(link_root), F.col("instance").cast("string")), F.col("metric"))
+    return index.select("metric", link.alias("link"), data_path(data_root, F.col("instance"), F.col("schema"), F.col("file_id")).alias("file"))
+
+
 def empty_files(files: DataFrame) -> DataFrame:
     return files.filter(F.forall("tags", lambda t: t == "")).select("instance", "schema", "file_id")
 
