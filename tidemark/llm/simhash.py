@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW_BATCH, TEXT_BATCH, Stage, arrow_batches, join_by_group
 from .graph import components
+from .near import drop_near_copies  # noqa: F401
 
 MOST_BITS = 3
 SHINGLE = 3
@@ -302,9 +303,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = nodes.count()
     of = Stage(join_by_group(named, lowest, "root", "members", total).select("fp", "n", "component_id"), "components")
     return join_by_group(prints.df, of.df, "fp", "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, with all its columns, of which one of each group stays; ids must be unique."""
-    gone = near_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
