@@ -34,3 +34,26 @@ def test_scores_every_row(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r.score for r in score_quality(docs(spark, [(1, "x")]), none).collect()} == {0.5}
     assert score_quality(docs(spark, []), none).count() == 0
+
+
+def test_every_row_without_a_label_takes_part(spark):
+    """Also those beyond 20,000, and those with null and repeated ids; sums in Spark fit as arrays do."""
+    from tidemark.llm.quality import CONTENT, METADATA, Pool, _rows, fit
+
+    text = "case when id % 4 = 0 then repeat('SPAM!! ', cast(20 + id % 7 as int)) else concat('Plain sentences follow here, number ', id, ' of many.') end"
+    frame = spark.range(20_700).selectExpr("case when id >= 20600 then null when id >= 20500 then 20499 else id end as doc_id", "'s' as source", "'en' as lang", f"{text} as text")
+    rows = frame.mapInArrow(_rows, "doc_id long, content binary, metadata binary").cache()
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(400)], LABELS)
+    model = fit(rows, labels, 20_000)
+    assert model.pool == 20_300 and min(model.passed) >= 0.09 * 20_300
+    got = sorted(rows.filter("doc_id < 400").collect())
+    rng = np.random.default_rng(4)
+    check = np.arange(len(got)) % 4 == 3
+    y = np.array([float(r.doc_id % 4 != 0) for r in got])
+    views = [np.stack([np.frombuffer(r[i], dtype=np.float32) for r in got]) for i in (1, 2)]
+    free = rows.filter("doc_id is null or doc_id >= 400").select("content", "metadata")
+    mixed = rng.permutation(np.array(free.collect(), dtype=object))
+    pools = [np.stack([np.frombuffer(r[i], dtype=np.float32) for r in mixed]) for i in (0, 1)]
+    assert pools[0].shape == (20_300, CONTENT) and pools[1].shape == (20_300, METADATA)
+    far, near = CoTraining().fit(views, y, Pool(free), check), CoTraining().fit(views, y, pools, check)
+    assert far.passed == near.passed and all(np.allclose(a, b, atol=1e-5) for a, b in zip(far.betas, near.betas, strict=True))

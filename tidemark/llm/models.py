@@ -14,20 +14,28 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def derivatives(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the weighted log loss; they add up over parts of the rows."""
+    p = sigmoid(x @ beta)
+    return x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+def newton(slope: np.ndarray, curve: np.ndarray, beta: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Coefficients after a step with a ridge penalty, which spares the intercept, and the step's size."""
+    ridge = np.full(len(beta), penalty)
+    ridge[-1] = 1e-3
+    step = np.linalg.solve(curve + np.diag(ridge), slope + ridge * beta)
+    size = np.abs(step).max()
+    return beta - (step * min(1.0, 4.0 / size) if size else 0.0), size
+
+
 def logistic_regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
     """Coefficients, the intercept last, for labels from 0 to 1; Newton's method with a ridge penalty."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     weight = np.ones(len(x)) if weight is None else weight
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-3
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = sigmoid(x @ beta)
-        slope = x.T @ (weight * (p - y)) + ridge * beta
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curve, slope)
-        size = np.abs(step).max()
-        beta -= step * min(1.0, 4.0 / size) if size else 0.0
+        beta, size = newton(*derivatives(x, y, weight, beta), beta, penalty)
         if size < 1e-6:
             break
     return beta

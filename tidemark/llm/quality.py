@@ -12,17 +12,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches
-from .models import linear, logistic_regression, platt, sigmoid
+from .common import ROW_BATCH, Stage, arrow_batches, small_batches
+from .models import derivatives, linear, logistic_regression, logit, newton, platt, sigmoid
 from .toxicity import held_out
 
-#: Labelled rows, and rows without a label, that the two classifiers are fitted on at most.
+#: Labelled rows that the two classifiers are fitted on at most. Rows without a label all take part.
 FIT_ROWS = 20_000
-POOL_ROWS = 20_000
 ROUNDS = 3
-#: Of the pool, the share that each view passes on in a round at most, and the confidence that takes.
+#: Of the pool, the share that each view passes on in a round, and the confidence that takes.
 PASSED = 0.1
 CONFIDENT = 0.95
+#: Log-odds are counted in bins of this width up to the largest; rows of the bin that completes the share all pass.
+BIN, MOST = 0.005, 30
+BINS = int(MOST / BIN) + 1
+#: Weight of a row with a pseudo-label, and the parts that a task's sums are cut into.
+PSEUDO = 0.5
+PARTS = 16
 CUT = 0.5
 
 SHAPES, SOURCES, LANGS = 192, 64, 16
@@ -80,35 +85,134 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], [*batch.schema.names[:-3], "content", "metadata"])
 
 
+def _bins(margin: np.ndarray) -> np.ndarray:
+    """Bins of log-odds for label 1; -1 for those against it."""
+    return np.where(margin < 0, -1, np.clip(margin, 0, MOST) / BIN).astype(np.int64)
+
+
+def _given(views: list[np.ndarray], rules: list, i: int) -> np.ndarray:
+    """What the other view has told view ``i`` in all rounds: 0, 1 or, of rows it isn't sure of, -1. Later rounds win."""
+    out = np.full(len(views[0]), -1)
+    for betas, limits in rules:
+        margin = linear(views[1 - i].astype(np.float64), betas[1 - i])
+        for label, side in ((1, margin), (0, -margin)):
+            out[_bins(side) >= limits[1 - i][label]] = label
+    return out
+
+
+def _counts(views: list[np.ndarray], betas: list[np.ndarray]) -> np.ndarray:
+    """Rows by view, label and bin."""
+    out = np.zeros((2, 2, BINS))
+    for i in (0, 1):
+        margin = linear(views[i].astype(np.float64), betas[i])
+        for label, side in ((1, margin), (0, -margin)):
+            at = _bins(side)
+            out[i, label] = np.bincount(at[at >= 0], minlength=BINS)
+    return out.ravel()
+
+
+def _sums(views: list[np.ndarray], rules: list, betas: list[np.ndarray]) -> np.ndarray:
+    """Gradient, Hessian and number of the pseudo-labelled rows, for one view after the other."""
+    out = []
+    for i in (0, 1):
+        label = _given(views, rules, i)
+        at = label >= 0
+        x = np.column_stack([views[i][at], np.ones(at.sum())]).astype(np.float64)
+        slope, curve = derivatives(x, label[at], np.full(len(x), PSEUDO), betas[i])
+        out += [slope, curve.ravel(), [len(x)]]
+    return np.concatenate(out)
+
+
+class LocalPool:
+    """Rows without a label, as arrays."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views, self.size = views, len(views[0])
+
+    def total(self, measure, *given) -> np.ndarray:
+        return measure(self.views, *given)
+
+
+class Pool:
+    """Rows without a label, as a table ``content, metadata``; measures are summed over all of them in Spark."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.size = rows, rows.count()
+
+    def total(self, measure, *given) -> np.ndarray:
+        shared = self.rows.sparkSession.sparkContext.broadcast(given)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = None
+            for batch in batches:
+                if batch.num_rows:
+                    got = measure(_views(batch), *shared.value)
+                    done = got if done is None else done + got
+            if done is not None:
+                cut = np.array_split(done, PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["part", "sums"])
+
+        parts = self.rows.mapInArrow(partial, "part int, sums binary").repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").collect()  # PARTS rows
+        return np.concatenate([np.frombuffer(r.sums) for r in sorted(parts)])
+
+
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(c.to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1) for c in batch.columns[-2:]]
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            done[part] = done.get(part, 0) + np.frombuffer(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([x.tobytes() for x in done.values()], pa.binary())], ["part", "sums"])
+
+
 class CoTraining:
     """Two classifiers on two views of the same rows; each labels for the other what it is surest of."""
 
     def __init__(self, rounds: int = ROUNDS):
         self.rounds = rounds
 
-    def fit(self, views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], check: np.ndarray) -> CoTraining:
-        """``check`` marks labelled rows that are kept for calibration."""
-        train, size = ~check, len(pools[0])
-        given: list[dict[int, int]] = [{}, {}]
+    def fit(self, views: list[np.ndarray], y: np.ndarray, pools, check: np.ndarray) -> CoTraining:
+        """``check`` marks labelled rows that are kept for calibration; ``pools`` is a pool or its two views."""
+        pool = LocalPool(pools) if isinstance(pools, list) else pools
+        train, rules = ~check, []
         rate = y[train].mean()
-        for turn in range(self.rounds + 1):
-            self.betas, surest = [], []
-            for i in (0, 1):
-                at = np.array(sorted(given[i]), dtype=int)
-                x = np.concatenate([views[i][train], pools[i][at]]) if len(at) else views[i][train]
-                labels = np.concatenate([y[train], [given[i][k] for k in at]]) if len(at) else y[train]
-                self.betas.append(logistic_regression(x, labels, weight=np.r_[np.ones(train.sum()), np.full(len(at), 0.5)]))
-                surest.append(sigmoid(linear(pools[i], self.betas[i])) if size else np.zeros(0))
-            if turn < self.rounds:
-                for i in (0, 1):
-                    for label, sure, share in ((1, surest[i], rate), (0, 1 - surest[i], 1 - rate)):
-                        best = np.argsort(-sure, kind="stable")[: int(np.ceil(PASSED * size * share))]
-                        given[1 - i].update((int(k), label) for k in best if sure[k] >= CONFIDENT)
-        self.passed = [len(g) for g in given]
+        own = [np.column_stack([v[train], np.ones(train.sum())]).astype(np.float64) for v in views]
+        self.betas, self.passed, self.pool = [logistic_regression(v[train], y[train]) for v in views], [0, 0], pool.size
+        for _ in range(self.rounds if pool.size else 0):
+            counts = pool.total(_counts, self.betas).reshape(2, 2, BINS)
+            rules.append((self.betas, [[self._limit(counts[i, label], pool.size * share) for label, share in ((0, 1 - rate), (1, rate))] for i in (0, 1)]))
+            self._refit(own, y[train], pool, rules)
         self.scales = [platt(linear(v[check], b), y[check]) for v, b in zip(views, self.betas, strict=True)]
         self.joint = logistic_regression(np.column_stack(self.margins([v[check] for v in views])), y[check], penalty=0.1)
         return self
 
+    @staticmethod
+    def _limit(counts: np.ndarray, rows: float) -> int:
+        """The least bin that passes."""
+        upward = np.cumsum(counts[::-1])[::-1]
+        full = np.flatnonzero(upward >= np.ceil(PASSED * rows))
+        return max(int(full[-1]) if len(full) else 0, int(np.ceil(logit(CONFIDENT) / BIN)))
+
+    def _refit(self, own: list[np.ndarray], y: np.ndarray, pool, rules: list, steps: int = 25) -> None:
+        """Newton's method for both views at once, from where they stand; one pass over the pool a step."""
+        betas = list(self.betas)
+        for _ in range(steps):
+            sums, sizes, at = pool.total(_sums, rules, betas), [], 0
+            for i in (0, 1):
+                n = len(betas[i])
+                slope, curve = derivatives(own[i], y, np.ones(len(y)), betas[i])
+                slope, curve = slope + sums[at : at + n], curve + sums[at + n : at + n + n * n].reshape(n, n)
+                self.passed[i] = int(sums[at + n + n * n])
+                at += n + n * n + 1
+                betas[i], size = newton(slope, curve, betas[i], 1.0)
+                sizes.append(size)
+            if max(sizes) < 1e-6:
+                break
+        self.betas = [np.round(b, 8) for b in betas]  # sums over tasks differ in their last digits
+
     def margins(self, views: list[np.ndarray]) -> list[np.ndarray]:
         """Calibrated log-odds of each view."""
         return [np.clip(linear(linear(v.astype(np.float64), b)[:, None], s), -12, 12) for v, b, s in zip(views, self.betas, self.scales, strict=True)]
@@ -120,44 +224,38 @@ class CoTraining:
 
 def _scored(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
         for batch in batches:
             if batch.num_rows:
-                got = model.value.scores(list(_features(batch, shapes))) if model.value else [np.full(batch.num_rows, 0.5)] * 3
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *[pa.array(x) for x in got]], [*batch.schema.names[:-3], "content_score", "metadata_score", "score"])
+                got = model.value.scores(_views(batch)) if model.value else [np.full(batch.num_rows, 0.5)] * 3
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *[pa.array(x) for x in got]], [*batch.schema.names[:-2], "content_score", "metadata_score", "score"])
 
     return score
 
 
-def _gather(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    got = sorted(rows.mapInArrow(_rows, "quality int, content binary, metadata binary").collect())  # FIT_ROWS or POOL_ROWS at most
-    views = [np.stack([np.frombuffer(r[i], dtype=np.float32) for r in got]) if got else np.zeros((0, n), np.float32) for i, n in ((1, CONTENT), (2, METADATA))]
-    return np.array([r[0] for r in got]), views
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int, pool_rows: int) -> CoTraining | None:
-    """None where the labelled rows don't hold both classes."""
+def fit(rows: DataFrame, labels: DataFrame, fit_rows: int) -> CoTraining | None:
+    """Of rows ``doc_id, content, metadata``; None where the labelled rows don't hold both classes."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    order = F.xxhash64("doc_id")
-    learnt = Stage(known.filter(~held_out()).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(fit_rows), "fit").df
-    free = docs.filter("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool_rows)
-    pool = Stage(free.withColumn("quality", F.lit(-1)), "pool").df
-    columns = ["quality", "source", "lang", "text"]
-    y, views = _gather(docs.join(F.broadcast(learnt), "doc_id").select(columns))
-    _, pools = _gather(docs.join(F.broadcast(pool), "doc_id").select(columns))
+    learnt = Stage(known.filter(~held_out()).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "fit").df
+    got = sorted(rows.join(F.broadcast(learnt), "doc_id").select("quality", "content", "metadata").collect())  # fit_rows at most
+    y = np.array([r[0] for r in got])
     check = np.arange(len(y)) % 4 == 3
     if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
         return None
-    return CoTraining().fit(views, y.astype(np.float64), pools, check)
+    views = [np.stack([np.frombuffer(r[i], dtype=np.float32) for r in got]) for i in (1, 2)]
+    pool = Stage(rows.join(known, "doc_id", "left_anti").select("content", "metadata"), "pool")
+    model = CoTraining().fit(views, y.astype(np.float64), Pool(pool.df), check)
+    pool.drop()
+    return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every document: ``doc_id, held_out, content_score, metadata_score, score, keep``.
 
     Scores are the calibrated chances of quality 1, by the words, by source, language, measures and
     layout, and by both; ``keep`` is 1 from 0.5 on. Labels are learnt from rows outside the held-out third,
-    ``fit_rows`` at most, a quarter of which only calibrates; pseudo-labels go to a pool of
-    ``pool_rows`` rows without labels. Every row is scored on its whole text.
+    ``fit_rows`` at most, a quarter of which only calibrates. Pseudo-labels go to all rows without labels: each
+    round counts both views' log-odds over all of them, and fits on sums of gradients and Hessians of those
+    that are sure enough. Every row is scored on its whole text.
 
     Null texts count as empty; null sources and languages are values of their own. Repeated rows get equal
     scores. Without labels of both classes all scores are 0.5. An empty table gives no rows. Columns other than
@@ -166,6 +264,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    model = spark.sparkContext.broadcast(fit(plain, labels, fit_rows, pool_rows))
+    rows = Stage(plain.mapInArrow(_rows, "doc_id long, content binary, metadata binary"), "views").df
+    arrow_batches(spark, ROW_BATCH)
+    model = spark.sparkContext.broadcast(fit(rows, labels, fit_rows))
     schema = "doc_id long, held_out boolean, content_score double, metadata_score double, score double"
-    return plain.select("doc_id", held_out().alias("held_out"), "source", "lang", "text").mapInArrow(_scored(model), schema).withColumn("keep", (F.col("score") >= CUT).cast("int"))
+    return rows.select("doc_id", held_out().alias("held_out"), "content", "metadata").mapInArrow(_scored(model), schema).withColumn("keep", (F.col("score") >= CUT).cast("int"))
