@@ -49,6 +49,14 @@ def test_mixing_plan_and_documents(spark):
     assert mix_plan(docs(spark, [])).count() == 0
 
 
+def test_mix_keeps_to_the_plan_with_null_and_repeated_ids(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(30)] + [(7, "a b", "s1"), (7, "a b", "s1"), (None, "x y z", "s1"), (None, "x y z", "s1"), (None, "q", None)]
+    frame = docs(spark, rows)
+    want = {(r.doc_id, r.source): r.t for r in mix_plan(frame).groupBy("doc_id", "source").agg(F.sum("taken").alias("t")).collect() if r.t}
+    got = mix(frame).groupBy("doc_id", "source").agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("t")).collect()
+    assert {(r.doc_id, r.source): r.t for r in got} == want and any(k[0] is None for k in want)
+
+
 def test_exact_groups(spark):
     rows = [(3, "a  b"), (1, "a b"), (2, "a\n\tb"), (4, " a b"), (5, None), (6, ""), (None, "a b"), (9, "z" * 100_000), (8, "z" * 100_000), (8, "z" * 100_000), (None, "q"), (10, "alone")]
     got = [(r.doc_id if r.doc_id is not None else -1, r.keep_id, r.group_size, r.kept) for r in exact_groups(docs(spark, rows)).collect()]

@@ -64,3 +64,9 @@ def test_label_model_outvotes_a_wrong_label():
 def test_stems_exclude_each_other():
     got = choose([("vex", 40, 0), ("vex*", 90, 0), ("ve*", 95, 60), ("the", 100, 900), ("rare", 2, 0)], 100, 900)
     assert got == ["vex*"]
+
+
+def test_drops_toxic_rows_with_null_and_repeated_ids(spark):
+    none = spark.createDataFrame([], LABELS)
+    rows = [(None, "scum scum idiot loser"), (None, "a calm day"), (4, "scum scum idiot loser"), (4, "a calm day"), (4, "a calm day")]
+    assert sorted(str(r.doc_id) + r.text for r in drop_toxic(docs(spark, rows), none).collect()) == ["4a calm day", "4a calm day", "Nonea calm day"]

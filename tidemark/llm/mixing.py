@@ -41,7 +41,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> Da
     return t.withColumn("target", target).select("skey", "source_size", "target")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """How many words the mix takes of each document.
 
     One row per input row: ``doc_id, size, source_size, target, taken``. Every source's documents
@@ -53,11 +53,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
     Null texts have no words and take none; null ids and sources are a value of their own, and
     null comes last among sources. Repeated ids stand together, larger size last. An
-    empty table gives no rows. Other columns aren't read.
+    empty table gives no rows. Other columns aren't read, but with ``carry`` the rows come along, as ``_row``.
     """
+    row = [F.struct(*docs.columns).alias("_row")] if carry else []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("skey"), size.alias("size"), key.alias("key")), "sizes")
+    sized = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("skey"), size.alias("size"), key.alias("key"), *row), "sizes")
     rows, digits = sized.count(), 2
     while digits < MAX_DIGITS and rows > BUCKET_ROWS * 16**digits:
         digits += 1
@@ -66,24 +67,25 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     targets = source_targets(sums.df.groupBy("skey").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size")), weights, most)
     upto = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.df.withColumn("start", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0))).drop("bucket_size", "source").join(targets, "skey")
-    within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size", *(["_row"] if carry else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = bucketed.withColumn("ahead", F.sum("size").over(within) - F.col("size")).join(starts, ["skey", "bucket"])
     rounds = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.floor("target").cast("long") - rounds * F.col("source_size") - F.col("start") - F.col("ahead")
     taken = rounds * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", *(["_row"] if carry else []))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mixed documents: each row as often as it is taken whole, then its first words if a part is left.
 
-    Returns the input's columns; ``n_chars``, where there is one, follows the text. Ids must be unique.
+    Returns the input's columns; ``n_chars``, where there is one, follows the text. Null ids are taken like others, and repeated
+    rows each as often as the plan says, since a row is carried through the plan, not joined to it.
     """
     rows = sheltered(docs, "doc_id", "text", "source", "n_chars")
-    plan = mix_plan(rows, weights, most).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = mix_plan(rows, weights, most, carry=True).filter("taken > 0").select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     full, part = F.expr("cast(_taken div _size as int)"), F.expr("_taken % _size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = rows.join(plan, rows["doc_id"] == plan["_id"]).withColumn("_words", F.explode(copies))
+    out = plan.withColumn("_words", F.explode(copies))
     lead = F.regexp_extract("text", rf"^(?:{BLANK})?", 0)
     words = F.slice(F.regexp_extract_all("text", F.lit(rf"{WORD}(?:{BLANK})?"), 0), 1, F.greatest("_words", F.lit(1)).cast("int"))
     cut = F.regexp_replace(F.concat(lead, F.array_join(words, "")), rf"(?:{BLANK})$", "")

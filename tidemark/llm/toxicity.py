@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches
+from .common import Stage, sheltered, small_batches
 from .models import LabelModel, linear, logistic_regression, sigmoid
 
 #: Rows that models are fitted on at most: those with the least hashes of their ids.
@@ -204,6 +204,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The input's rows and columns without documents that are predicted toxic; ids must be unique."""
-    out = score_toxicity(docs, labels, fit_rows).filter("predicted = 1").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """The input's rows and columns without those that are predicted toxic; each row by its own text, whatever its id."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = spark.sparkContext.broadcast(fit(plain, labels, fit_rows))
+    out = plain.withColumn("row", F.xxhash64("doc_id", "text")).select("row", "text").mapInArrow(_scores(model), "row long, score double")
+    toxic = out.filter(F.col("score") >= CUT).select(F.col("row").alias("_row")).distinct()
+    rows = sheltered(docs, "doc_id", "text")
+    keyed = rows.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return keyed.join(toxic, "_row", "left_anti").select(rows.columns).toDF(*docs.columns)
