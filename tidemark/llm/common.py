@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +35,29 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: With this, a finished write's shuffle files go at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the actions of a block; then it is as before."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 class Stage:
     """A table written to the shared folder: cuts lineage and outlives lost executors."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with setting(self.spark, CLEANUP, "true"):
+            df.write.parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
@@ -90,19 +107,40 @@ def null_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, share: int = 1000) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, which has one row per ``key`` and its row count in ``rows``.
+def hot_rows(total: int) -> int:
+    """Rows of a key above which it is hot: 100,000 at most up to 10^10 rows; never are more than 100,000 keys hot."""
+    return max(min(max(total // 1000, 1000), 100_000), total // 100_000)
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one short row per ``key`` and its row count in ``rows``.
 
-    Groups with more than ``total / share`` rows, of which there are fewer than ``share``, are
-    broadcast, so that a hot key's rows stay where they are; the rest meet in a shuffle.
+    Hot groups, 100,000 of them at most, are broadcast, so that a hot key's rows stay where they are; the
+    rest meet in a shuffle.
     """
     on = [key] if isinstance(key, str) else key
-    most = max(total // share, 1000)
+    most = hot_rows(total)
     hot = groups.filter(F.col(size) > most)
     cold = groups.filter(F.col(size) <= most)
     if total <= most:
         return rows.join(groups, on)
     names = [*rows.columns, *[c for c in groups.columns if c not in on]]
-    hot_rows = rows.join(F.broadcast(hot), on).select(names)
-    cold_rows = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on).select(names)
-    return hot_rows.unionByName(cold_rows)
+    hot_part = rows.join(F.broadcast(hot), on).select(names)
+    cold_part = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on).select(names)
+    return hot_part.unionByName(cold_part)
+
+
+def salted_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``wide``, which has one row per ``key`` of any width.
+
+    ``counted``, a written table, has the keys as often as ``rows``. A hot key's rows are dealt over several places by the hash
+    of their columns ``by``, and its wide row is repeated at each; only hot keys and their numbers of places are broadcast.
+    """
+    total = counted.count()
+    most = hot_rows(total)
+    if total <= most:
+        return rows.join(wide, key)
+    places = counted.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_places"))
+    dealt = rows.join(F.broadcast(places.filter("_places > 1")), key, "left").withColumn("_place", F.pmod(F.xxhash64(*by), F.coalesce("_places", F.lit(1))).cast("int")).drop("_places")
+    repeated = places.join(wide, key).withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
+    return dealt.join(repeated, [key, "_place"]).drop("_place")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, join_by_group, let, release, sheltered
+from .common import Stage, join_by_group, let, salted_join, sheltered
 from .graph import components
 
 SHINGLE = 8
@@ -13,13 +16,18 @@ SHINGLE = 8
 BANDS, ROWS = 8, 3
 #: Least similarity, as a fraction.
 ALIKE = (4, 5)
-#: Characters of a line that are cut into shingles at once; positions in a text are found by counting from its start.
-CHUNK = 56
+#: Shingles that one row hashes at once; characters of a block, within which a chunk is found by counting from its start.
+CHUNK, BLOCK = 16, 256
+#: 64-bit words of a sketch; centres that a band's other lines are compared with in a round; rows of a band that one place of a join takes.
+WORDS, CENTRES, PLACE = 16, 8, 4096
 LAST = (1 << 63) - 1
+#: A character that isn't blank.
+INK = r"[^\x20\x09-\x0D]"
 
 
 def _mask(i: int) -> int:
     """The i-th of a fixed sequence of signed 64-bit words."""
+    # The constants of SplitMix64.
     x = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
@@ -27,112 +35,184 @@ def _mask(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _chunk(line: Column, at: Column) -> Column:
-    return F.substring(line, at * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1))
+def _cut(text: Column, size: int, at: Column) -> Column:
+    """The ``at``-th piece of a text with ``size`` shingles a piece."""
+    return F.substring(text, at * size + 1, F.lit(size + SHINGLE - 1))
 
 
-def _chunks(line: Column) -> Column:
-    """Numbers of a line's chunks; a line of fewer characters than a shingle is one."""
-    return F.sequence(F.lit(0), (F.greatest(F.length(line) - SHINGLE, F.lit(0)) / CHUNK).cast("int"))
+def _pieces(text: Column, size: int) -> Column:
+    """Numbers of a text's pieces; a text of fewer characters than a shingle is one."""
+    return F.sequence(F.lit(0), (F.greatest(F.length(text) - SHINGLE, F.lit(0)) / size).cast("int"))
 
 
-def _starts(chunk: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(chunk) - SHINGLE + 1, F.lit(1)))
+def _starts(piece: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)))
 
 
 def shingles(line: Column) -> Column:
     """The set of a line's shingles, by 64-bit hash."""
-    pieces = F.transform(_chunks(line), lambda c: _chunk(line, c))
-    return F.array_distinct(F.flatten(F.transform(pieces, lambda p: F.transform(_starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))))
+    hashed = lambda piece: let(piece, lambda p: F.transform(_starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.flatten(F.transform(_pieces(line, 64), lambda at: hashed(_cut(line, 64, at)))))
+
+
+def _ordered(h: Column, i: int) -> Column:
+    """The place of a hash in the i-th order: its bits turned by a step of their own and masked, so that each order is ruled by other bits."""
+    turn = 11 * i % 64
+    turned = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
+    return turned.bitwiseXOR(F.lit(_mask(i)))
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """``lid, bands`` of distinct lines ``lid, line``, which must be partitioned by ``lid``: no shuffle then.
+def signatures(lines: DataFrame) -> DataFrame:
+    """``l0, l1, bands`` of lines ``l0, l1, line``, one row a distinct line: of each order of shingles the least, hashed band by band.
 
-    The i-th signature is the least hash of a shingle, xored with the i-th mask: which shingle has it depends on the
-    mask's leading bits, as with independent orders.
+    A row hashes a chunk of shingles and takes its least values before rows meet; a last chunk repeats its last shingle.
     """
-    cut = lines.select("lid", "line", F.explode(_chunks(F.col("line"))).alias("at")).select("lid", _chunk(F.col("line"), F.col("at")).alias("chunk"))
-    hashed = cut.select("lid", "chunk", F.explode(_starts(F.col("chunk"))).alias("i")).select("lid", F.xxhash64(F.substring("chunk", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    least = hashed.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    blocks = lines.select("l0", "l1", "line", F.explode(_pieces(F.col("line"), BLOCK)).alias("at")).select("l0", "l1", _cut(F.col("line"), BLOCK, F.col("at")).alias("block"))
+    chunks = blocks.select("l0", "l1", "block", F.explode(_pieces(F.col("block"), CHUNK)).alias("at")).select("l0", "l1", _cut(F.col("block"), CHUNK, F.col("at")).alias("chunk"))
+    last = F.greatest(F.length("chunk") - SHINGLE + 1, F.lit(1))
+    placed = chunks.select("l0", "l1", "chunk", last.alias("last"))
+    hashed = placed.select("l0", "l1", *[F.xxhash64(F.substring("chunk", F.least(F.lit(k + 1), F.col("last")), F.lit(SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
+    least = hashed.groupBy("l0", "l1").agg(*[F.min(F.least(*[_ordered(F.col(f"h{k}"), i) for k in range(CHUNK)])).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("lid", F.array(*keys).alias("bands"))
+    return least.select("l0", "l1", F.array(*keys).alias("bands"))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """``nid, size, w0..`` of ``nid, line``: the number of shingles, and parities of how many of them fall in each place.
+
+    Two sketches differ in no more places than two sets in shingles.
+    """
+    each = texts.select("nid", F.explode(shingles(F.col("line"))).alias("h"))
+    bits = each.select("nid", F.expr(f"h & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast((shiftrightunsigned(h, 8)) & 63 as int))").alias("bit"))
+    return bits.groupBy("nid").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+
+
+def _may_be_alike(x: str, y: str) -> Column:
+    """False only where the sketches of two rows prove that the lines aren't alike."""
+    up, down = ALIKE
+    apart = reduce(add, [F.bit_count(F.col(f"{x}.w{w}").bitwiseXOR(F.col(f"{y}.w{w}"))) for w in range(WORDS)])
+    return (up + down) * apart <= (down - up) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs ``a, b`` of lines those that are alike, exactly."""
-    left = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a")
-    both = left.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    """Of pairs ``a, b, ..`` of lines, a written table, those that are alike, exactly."""
+    left = salted_join(pairs, texts.select(F.col("nid").alias("a"), F.col("line").alias("x")), "a", pairs, ["a", "b"])
+    both = salted_join(left, texts.select(F.col("nid").alias("b"), F.col("line").alias("y")), "b", pairs, ["a", "b"])
+    sets = both.select(*pairs.columns, shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     up, down = ALIKE
-    return sets.filter((up + down) * same >= up * (F.size("x") + F.size("y"))).select("a", "b")
+    return sets.filter((up + down) * same >= up * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """Links ``a, b`` that connect distinct lines as all alike pairs that share a band do.
+def _compared(some: DataFrame, others: DataFrame, texts: DataFrame) -> Stage:
+    """Links ``a, b`` between roots: of rows of ``some`` and ``others`` of one band and different roots, those with lines that are alike.
 
-    ``lines``: lid, line, with repeats. In every band each line is compared with the band's least one first. Where a
-    band then still holds lines of different components, those outside the least one's are compared with all
-    lines of the band that are in other components. So of a large group of copies only what isn't connected yet
-    is paired, and no pair of a band is left out.
+    Both have ``band, nid, root, size, w0..``, ``some`` also ``n``, a band's rows, by which crowded bands are dealt over many places.
+    """
+    places = F.ceil(F.col("n") / PLACE).cast("int")
+    x = some.withColumn("place", F.pmod(F.xxhash64("nid"), places).cast("int")).alias("x")
+    y = others.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).alias("y")
+    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y"))
+    a, b = F.struct("x.nid", "x.root"), F.struct("y.nid", "y.root")
+    pairs = Stage(near.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")), "pairs")
+    links = Stage(verified(pairs.df, texts).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
+    pairs.drop()
+    return links
+
+
+class Grouping:
+    """Members of bands ``band, n, nid, size, w0.., root``, and the root of each line that isn't its own."""
+
+    def __init__(self, members: Stage, texts: Stage):
+        self.members, self.texts = members, texts
+        self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
+
+    def merge(self, links: Stage) -> None:
+        """Take in links between roots."""
+        moved = Stage(components(links.df), "moved")
+        links.drop()
+        old = self.roots.df.join(moved.df.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
+        to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        members, had = Stage(self.members.df.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members"), self.members
+        self.roots, self.members = roots, members
+        for stage in (was, had, moved):
+            stage.drop()
+
+    def open(self) -> tuple[DataFrame, DataFrame]:
+        """Of the bands that hold several roots: all members, and those outside the band's commonest root (``most``)."""
+        each = self.members.df.groupBy("band", "root").agg(F.count("*").alias("own"))
+        bands = each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("most"))
+        held = self.members.df.join(bands, "band")
+        return held, held.filter("root <> most")
+
+    def centres(self, held: DataFrame, nth: int) -> DataFrame:
+        """Up to ``CENTRES`` members of each band's commonest root, others in each round."""
+        fields = [c for c in self.members.df.columns if c != "band"]
+        order = F.xxhash64(F.lit(nth), "nid")
+        return held.filter("root = most").groupBy("band", F.pmod(order, F.lit(CENTRES)).alias("slot")).agg(F.min_by(F.struct(*fields), order).alias("c")).select("band", "c.*")
+
+
+def line_roots(lines: DataFrame, rounds: int = 2) -> tuple[Stage, Stage]:
+    """``node, root`` of lines connected by alike pairs that share a band, and ``nid, l0, l1, bands``, which names lines.
+
+    Lines that share a band with another have sketches, by which the joins rule out pairs that can't be alike; what passes is verified
+    on the whole sets. First each line is compared with its band's first one. Of bands that still hold several roots, all lines outside
+    the commonest root are compared with some of its members, in ``rounds``, then with all lines of the band that have
+    another root. So most of a large group is connected by few pairs, and no pair of a band is left out.
     """
-    spark = lines.sparkSession
-    keyed = Stage(band_keys(lines.groupBy("lid").agg(F.min("line").alias("line"))), "bands")
-    release(spark)
-    members = keyed.df.select("lid", F.explode("bands").alias("band"))
-    groups = Stage(members.groupBy("band").agg(F.min("lid").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    release(spark)
-    total = keyed.count() * BANDS
-    held = Stage(join_by_group(members, groups.df, "band", "n", total), "members")
-    keyed.drop()
-    release(spark)
-    pairs = Stage(held.df.filter("lid <> first").select(F.col("lid").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    wanted = held.df.select("lid").distinct()
-    texts = Stage(lines.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line")), "texts")
-    release(spark)
-    links = Stage(verified(pairs.df, texts.df), "alike")
-    release(spark)
-    roots = components(links.df)
-    placed = Stage(_rooted(held.df.filter("n > 2"), roots), "members")
-    split = placed.df.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    open_ = Stage(placed.df.join(split, "band", "left_semi"), "open")
-    apart = open_.df.filter("root <> first_root").select("band", F.col("lid").alias("a"), F.col("root").alias("ra"))
-    others = open_.df.filter("lid <> first").select("band", F.col("lid").alias("b"), F.col("root").alias("rb"))
-    more = apart.join(others, "band").filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = Stage(verified(more, texts.df), "alike")
-    release(spark)
-    return links.df.unionByName(found.df)
-
-
-def _rooted(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of bands with their component, and that of the band's least line."""
-    named = held.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    firsts = held.select("band", "first").distinct().join(roots.select(F.col("node").alias("first"), F.col("root").alias("first_root")), "first", "left")
-    return named.join(firsts.select("band", F.coalesce("first_root", "first").alias("first_root")), "band")
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Lines to remove of documents ``row, rank, text``: ``row, gone``, an array of line numbers from 0."""
-    spark = docs.sparkSession
-    lines = docs.select("row", "rank", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").withColumn("lid", F.xxhash64("line"))
-    seen = Stage(lines.select("row", "rank", "pos", "lid"), "lines")
-    roots = components(line_links(lines.select("lid", "line")))
-    named = Stage(seen.df.join(roots.withColumnRenamed("node", "lid"), "lid", "left").select("row", "rank", "pos", F.coalesce("root", "lid").alias("root")), "lines")
+    named = Stage(signatures(lines).withColumn("nid", F.monotonically_increasing_id()), "bands")
+    spread = named.df.select("nid", F.explode("bands").alias("band"))
+    groups = Stage(spread.groupBy("band").agg(F.min("nid").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    held = Stage(join_by_group(spread, groups.df, "band", "n", named.count() * BANDS), "held")
+    groups.drop()
+    wanted = Stage(held.df.select("nid").distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
+    texts = Stage(lines.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
+    wanted.drop()
+    sketched = Stage(sketches(texts.df), "sketches")
+    members = Stage(held.df.join(sketched.df, "nid").withColumn("root", F.col("nid")), "members")
+    held.drop()
+    firsts = members.df.filter("nid = first")
+    found = Grouping(members, texts)
+    found.merge(_compared(members.df.filter("nid <> first"), firsts, texts.df))
+    sketched.drop()
+    for nth in range(rounds):
+        held_, apart = found.open()
+        found.merge(_compared(apart, found.centres(held_, nth), texts.df))
+    held_, apart = found.open()
+    found.merge(_compared(held_, apart, texts.df))
+    found.members.drop()
+    texts.drop()
+    return found.roots, named
+
+
+def repeated_lines(docs: DataFrame) -> Stage:
+    """Lines to remove of documents ``r0, r1, rank, text``: ``r0, r1, gone``, an array of line numbers from 0."""
+    each = docs.select("r0", "r1", "rank", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(INK))
+    lines = each.withColumns({"l0": F.xxhash64("line"), "l1": F.xxhash64(F.lit(1), "line")})
+    roots, named = line_roots(lines.select("l0", "l1", "line"))
+    name = named.df.select("nid", "l0", "l1")
+    other = roots.df.join(name.select(F.col("nid").alias("root"), F.col("l0").alias("k0"), F.col("l1").alias("k1")), "root").withColumnRenamed("node", "nid").join(name, "nid")
+    moved = Stage(other.select("l0", "l1", "k0", "k1"), "moved")
+    roots.drop()
+    named.drop()
+    seen = Stage(lines.select("r0", "r1", "rank", "pos", "l0", "l1"), "lines")
+    counted = Stage(seen.df.join(moved.df, ["l0", "l1"], "left").select("r0", "r1", "rank", "pos", F.coalesce("k0", "l0").alias("k0"), F.coalesce("k1", "l1").alias("k1")), "lines")
     seen.drop()
-    release(spark)
-    first = named.df.groupBy("root").agg(F.min(F.struct("rank", "pos", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    late = join_by_group(named.df, first, "root", "n", named.count()).filter(F.struct("rank", "pos", "row") != F.col("first"))
-    gone = Stage(late.groupBy("row").agg(F.collect_set("pos").alias("gone")), "gone")
-    release(spark)
-    return gone.df
+    moved.drop()
+    order = F.struct("rank", "pos", "r0", "r1")
+    first = counted.df.groupBy("k0", "k1").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    late = join_by_group(counted.df, first, ["k0", "k1"], "n", counted.count()).filter(order != F.col("first"))
+    gone = Stage(late.groupBy("r0", "r1").agg(F.collect_set("pos").alias("gone")), "gone")
+    counted.drop()
+    return gone
 
 
 def _stripped(docs: DataFrame) -> DataFrame:
     """``docs``, sheltered, with ``_lines, _gone`` (counts) and ``_kept`` (the text that stays)."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    gone = repeated_lines(keyed.select(F.col("_row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text"))
-    met = keyed.join(gone.select(F.col("row").alias("_row"), F.col("gone").alias("_out")).hint("shuffle_hash"), "_row", "left")
+    keyed = docs.withColumns({"_r0": F.xxhash64("doc_id", "text"), "_r1": F.xxhash64(F.lit(1), "doc_id", "text")})
+    gone = repeated_lines(keyed.select(F.col("_r0").alias("r0"), F.col("_r1").alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text"))
+    met = keyed.join(gone.df.select(F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), F.col("gone").alias("_out")), ["_r0", "_r1"], "left")
     parts = F.split("text", "\n")
     left = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_out")), lambda i: F.element_at(p, i + 1)))
     return met.select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_lines"), F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("_kept"))
@@ -143,7 +223,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     One row per input row: ``doc_id, n_lines, n_removed, kept_sha256``. Lines are alike when the Jaccard similarity of
     their sets of 8-character shingles is 0.8 or more, or over steps of such lines; the first is that of the
-    smallest doc_id, then of the smallest line number. Equal lines are one line with one 64-bit hash.
+    smallest doc_id, then of the smallest line number. Lines and rows go by 128 bits of hash.
 
     Blank lines always stay. A null text has no lines, an empty one has one blank line. Lines shorter than a shingle are
     one shingle. A null id comes last; equal rows count as one document, and lose the same lines. Long texts and
