@@ -16,10 +16,12 @@ SHINGLE = 8
 BANDS, ROWS = 8, 3
 #: Least similarity, as a fraction.
 ALIKE = (4, 5)
-#: Shingles that one row hashes at once; characters of a block, within which a chunk is found by counting from its start.
-CHUNK, BLOCK = 16, 256
+#: Shingles that one row takes at once.
+CHUNK = 16
 #: 64-bit words of a sketch; centres that a band's other lines are compared with in a round; rows of a band that one place of a join takes.
 WORDS, CENTRES, PLACE = 16, 8, 4096
+#: Rows of 24 bytes that may be broadcast.
+FEW = 200_000
 LAST = (1 << 63) - 1
 #: A character that isn't blank.
 INK = r"[^\x20\x09-\x0D]"
@@ -35,24 +37,24 @@ def _mask(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _cut(text: Column, size: int, at: Column) -> Column:
-    """The ``at``-th piece of a text with ``size`` shingles a piece."""
-    return F.substring(text, at * size + 1, F.lit(size + SHINGLE - 1))
+def _wide(line: Column) -> Column:
+    """A line with four bytes a character, so that any shingle is found at once."""
+    return F.encode(line, "UTF-32")
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """Numbers of a text's pieces; a text of fewer characters than a shingle is one."""
-    return F.sequence(F.lit(0), (F.greatest(F.length(text) - SHINGLE, F.lit(0)) / size).cast("int"))
+def _hash(wide: Column, at: Column) -> Column:
+    """The hash of the shingle that begins at a character, from 0."""
+    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * SHINGLE)))
 
 
-def _starts(piece: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(piece) - SHINGLE + 1, F.lit(1)))
+def _last(wide: Column) -> Column:
+    """Where the last shingle begins; a line of fewer characters is one shingle."""
+    return F.greatest((F.length(wide) / 4).cast("int") - SHINGLE, F.lit(0))
 
 
 def shingles(line: Column) -> Column:
     """The set of a line's shingles, by 64-bit hash."""
-    hashed = lambda piece: let(piece, lambda p: F.transform(_starts(p), lambda i: F.xxhash64(F.substring(p, i, F.lit(SHINGLE)))))
-    return F.array_distinct(F.flatten(F.transform(_pieces(line, 64), lambda at: hashed(_cut(line, 64, at)))))
+    return F.array_distinct(let(_wide(line), lambda w: F.transform(F.sequence(F.lit(0), _last(w)), lambda at: _hash(w, at))))
 
 
 def _ordered(h: Column, i: int) -> Column:
@@ -67,11 +69,9 @@ def signatures(lines: DataFrame) -> DataFrame:
 
     A row hashes a chunk of shingles and takes its least values before rows meet; a last chunk repeats its last shingle.
     """
-    blocks = lines.select("l0", "l1", "line", F.explode(_pieces(F.col("line"), BLOCK)).alias("at")).select("l0", "l1", _cut(F.col("line"), BLOCK, F.col("at")).alias("block"))
-    chunks = blocks.select("l0", "l1", "block", F.explode(_pieces(F.col("block"), CHUNK)).alias("at")).select("l0", "l1", _cut(F.col("block"), CHUNK, F.col("at")).alias("chunk"))
-    last = F.greatest(F.length("chunk") - SHINGLE + 1, F.lit(1))
-    placed = chunks.select("l0", "l1", "chunk", last.alias("last"))
-    hashed = placed.select("l0", "l1", *[F.xxhash64(F.substring("chunk", F.least(F.lit(k + 1), F.col("last")), F.lit(SHINGLE))).alias(f"h{k}") for k in range(CHUNK)])
+    wide = lines.select("l0", "l1", _wide(F.col("line")).alias("wide"))
+    chunks = wide.select("l0", "l1", "wide", _last(F.col("wide")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("wide")), F.lit(CHUNK))).alias("at"))
+    hashed = chunks.select("l0", "l1", *[_hash(F.col("wide"), F.least(F.col("at") + k, F.col("last"))).alias(f"h{k}") for k in range(CHUNK)])
     least = hashed.groupBy("l0", "l1").agg(*[F.min(F.least(*[_ordered(F.col(f"h{k}"), i) for k in range(CHUNK)])).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     return least.select("l0", "l1", F.array(*keys).alias("bands"))
@@ -82,9 +82,14 @@ def sketches(texts: DataFrame) -> DataFrame:
 
     Two sketches differ in no more places than two sets in shingles.
     """
-    each = texts.select("nid", F.explode(shingles(F.col("line"))).alias("h"))
-    bits = each.select("nid", F.expr(f"h & {WORDS - 1}").alias("word"), F.expr("shiftleft(1L, cast((shiftrightunsigned(h, 8)) & 63 as int))").alias("bit"))
-    return bits.groupBy("nid").agg(F.count("*").cast("int").alias("size"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    sets = texts.select("nid", shingles(F.col("line")).alias("own"))
+    chunks = sets.select("nid", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1, F.lit(CHUNK))).alias("at"))
+    each = chunks.select("nid", F.size("own").alias("size"), *[F.get("own", F.col("at") + k).alias(f"h{k}") for k in range(CHUNK)])
+    bit = "shiftleft(1L, cast(shiftrightunsigned(h{k}, 8) & 63 as int))"
+    placed = each.select("nid", "size", *[F.expr(f"h{k} & {WORDS - 1}").alias(f"p{k}") for k in range(CHUNK)], *[F.expr(bit.format(k=k)).alias(f"b{k}") for k in range(CHUNK)])
+    zero = F.lit(0).cast("long")
+    word = lambda w: reduce(Column.bitwiseXOR, [F.when(F.col(f"p{k}") == w, F.col(f"b{k}")).otherwise(zero) for k in range(CHUNK)])
+    return placed.groupBy("nid").agg(F.max("size").alias("size"), *[F.bit_xor(word(w)).alias(f"w{w}") for w in range(WORDS)])
 
 
 def _may_be_alike(x: str, y: str) -> Column:
@@ -127,30 +132,49 @@ class Grouping:
         self.members, self.texts = members, texts
         self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
 
-    def merge(self, links: Stage) -> None:
-        """Take in links between roots."""
+    def merge(self, links: Stage, least: int = 1) -> None:
+        """Take in links between roots; then only bands that still hold several roots, and more than ``least`` rows, stay.
+
+        ``most`` is a band's commonest root.
+        """
         moved = Stage(components(links.df), "moved")
         links.drop()
-        old = self.roots.df.join(moved.df.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
         to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        members, had = Stage(self.members.df.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members"), self.members
-        self.roots, self.members = roots, members
-        for stage in (was, had, moved):
+        old = self.roots.df.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
+        own, had = self.members.df.filter(F.col("n") > least).drop("most"), self.members
+        named = own.select("band", "root").join(to, "root", "left").select("band", F.coalesce("to", "root").alias("root"))
+        each = named.groupBy("band", "root").agg(F.count("*").alias("own"))
+        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("most")), "open")
+        self.members = Stage(own.join(bands.df, "band").join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members")
+        self.roots = roots
+        for stage in (was, had, moved, bands):
             stage.drop()
 
-    def open(self) -> tuple[DataFrame, DataFrame]:
-        """Of the bands that hold several roots: all members, and those outside the band's commonest root (``most``)."""
-        each = self.members.df.groupBy("band", "root").agg(F.count("*").alias("own"))
-        bands = each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("most"))
-        held = self.members.df.join(bands, "band")
-        return held, held.filter("root <> most")
-
-    def centres(self, held: DataFrame, nth: int) -> DataFrame:
+    def centres(self, nth: int) -> DataFrame:
         """Up to ``CENTRES`` members of each band's commonest root, others in each round."""
-        fields = [c for c in self.members.df.columns if c != "band"]
+        fields = [c for c in self.members.df.columns if c not in ("band", "most")]
         order = F.xxhash64(F.lit(nth), "nid")
-        return held.filter("root = most").groupBy("band", F.pmod(order, F.lit(CENTRES)).alias("slot")).agg(F.min_by(F.struct(*fields), order).alias("c")).select("band", "c.*")
+        return self.members.df.filter("root = most").groupBy("band", F.pmod(order, F.lit(CENTRES)).alias("slot")).agg(F.min_by(F.struct(*fields), order).alias("c")).select("band", "c.*")
+
+    def apart(self) -> DataFrame:
+        return self.members.df.filter("root <> most")
+
+
+def _members(named: DataFrame) -> Stage:
+    """``band, n, first, nid`` for lines that share a band, of ``nid, bands``.
+
+    Two lines in a band are known by the least and the greatest; only larger bands are joined to their lines.
+    """
+    spread = named.select("nid", F.explode("bands").alias("band"))
+    groups = Stage(spread.groupBy("band").agg(F.min("nid").alias("first"), F.max("nid").alias("last"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    two = groups.df.filter("n = 2").select("band", "n", "first", F.explode(F.array("first", "last")).alias("nid"))
+    large = groups.df.filter("n > 2").select("band", "n", "first")
+    number = large.count()
+    met = spread.join(F.broadcast(large), "band") if number <= FEW else join_by_group(spread, large, "band", "n", named.count() * BANDS)
+    held = Stage(two.unionByName(met.select("band", "n", "first", "nid")), "held")
+    groups.drop()
+    return held
 
 
 def line_roots(lines: DataFrame, rounds: int = 2) -> tuple[Stage, Stage]:
@@ -162,25 +186,19 @@ def line_roots(lines: DataFrame, rounds: int = 2) -> tuple[Stage, Stage]:
     another root. So most of a large group is connected by few pairs, and no pair of a band is left out.
     """
     named = Stage(signatures(lines).withColumn("nid", F.monotonically_increasing_id()), "bands")
-    spread = named.df.select("nid", F.explode("bands").alias("band"))
-    groups = Stage(spread.groupBy("band").agg(F.min("nid").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    held = Stage(join_by_group(spread, groups.df, "band", "n", named.count() * BANDS), "held")
-    groups.drop()
+    held = _members(named.df.select("nid", "bands"))
     wanted = Stage(held.df.select("nid").distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
     texts = Stage(lines.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
     wanted.drop()
     sketched = Stage(sketches(texts.df), "sketches")
     members = Stage(held.df.join(sketched.df, "nid").withColumn("root", F.col("nid")), "members")
     held.drop()
-    firsts = members.df.filter("nid = first")
     found = Grouping(members, texts)
-    found.merge(_compared(members.df.filter("nid <> first"), firsts, texts.df))
+    found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), texts.df), 2)
     sketched.drop()
     for nth in range(rounds):
-        held_, apart = found.open()
-        found.merge(_compared(apart, found.centres(held_, nth), texts.df))
-    held_, apart = found.open()
-    found.merge(_compared(held_, apart, texts.df))
+        found.merge(_compared(found.apart(), found.centres(nth), texts.df))
+    found.merge(_compared(found.members.df, found.apart(), texts.df))
     found.members.drop()
     texts.drop()
     return found.roots, named
