@@ -100,7 +100,7 @@ def dense(level: DataFrame, metrics: DataFrame, range_: Range) -> DataFrame:
     if range_.start >= range_.until:
         slots = metrics.select("metric", F.lit(0).cast("bigint").alias("ts")).limit(0)
     else:
-        every = F.sequence(F.lit(range_.start), F.lit(range_.until - range_.step), F.lit(range_.step))
+        every = F.sequence(*[F.lit(x).cast("bigint") for x in (range_.start, range_.until - range_.step, range_.step)])
         slots = metrics.select("metric", F.explode(every).alias("ts"))
     stored = level.filter((F.col("slot_ts") >= range_.start) & (F.col("slot_ts") < range_.until)).select("metric", F.col("slot_ts").alias("ts"), "value")
     return slots.join(stored, ["metric", "ts"], "left").select("metric", "ts", F.lit(range_.step).cast("bigint").alias("step"), "value")

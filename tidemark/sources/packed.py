@@ -62,7 +62,7 @@ def _header_schema() -> pa.Schema:
     return pa.schema([("path", pa.string()), ("agg", pa.string()), ("max_retention", pa.int64()), ("xff", pa.float64()), ("tags", pa.list_(pa.string())), ("reserved_size", pa.int32()), ("point_size", pa.int32()), ("archives", pa.list_(item))])
 
 
-def _points(many: bool):
+def _points(many: bool, wanted: frozenset[str] | None = None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -72,7 +72,7 @@ def _points(many: bool):
                     rows = np.frombuffer(data, dtype=kind, count=a["count"], offset=a["offset"])
                     rows = rows[rows["ts"] != 0]
                     for j, tag in enumerate(h["tags"]):
-                        if many and not tag:
+                        if many and not tag or wanted is not None and tag not in wanted:
                             continue
                         n, values = len(rows), rows["vals"][:, j].astype(np.float64)
                         yield pa.RecordBatch.from_pydict({
@@ -85,7 +85,6 @@ def _points(many: bool):
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # whole files are rows here
     return files.select("path", "content")
 
 
@@ -93,9 +92,12 @@ def headers(spark: SparkSession, path: str, many: bool = True, glob: str = "*")
     return _files(spark, path, glob).mapInArrow(_headers(many), HEADERS)
 
 
-def points(spark: SparkSession, path: str, many: bool = True, glob: str = "*") -> DataFrame:
-    """All written slots of all files under ``path``, by archive; the null number becomes null."""
-    return _files(spark, path, glob).mapInArrow(_points(many), POINTS)
+def points(spark: SparkSession, path: str, many: bool = True, glob: str = "*", metrics: list[str] | None = None) -> DataFrame:
+    """All written slots of all files under ``path``, by archive; the null number becomes null. Of ``metrics``, where given, only their columns are read.
+
+    Whole files are rows of an Arrow batch: ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds how many a worker holds.
+    """
+    return _files(spark, path, glob).mapInArrow(_points(many, None if metrics is None else frozenset(metrics)), POINTS)
 
 
 def recent(stored: DataFrame, now: int) -> DataFrame:

@@ -23,20 +23,20 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.readStream.text(path))
 
 
-def ingest(points: DataFrame, store: Store, checkpoint: str, settle: bool = True, handlers: tuple[Callable[[DataFrame, int], None], ...] = (), every: str | None = None) -> StreamingQuery:
-    """Write every micro-batch to the store, then derive coarser levels; ``handlers`` see each batch too.
+def ingest(points: DataFrame, store: Store, checkpoint: str, settle: bool = True, handlers: tuple[Callable[[DataFrame, int], None], ...] = (), every: str | None = None, now: Callable[[], int] | None = None) -> StreamingQuery:
+    """Write every micro-batch to the store, then derive coarser levels of the schemas it touched; ``handlers`` see each batch too.
 
-    A batch's number is its write number, so that a batch that runs again overwrites itself. A handler that fails is
+    A batch's number is its write number, so that a batch that runs again counts once. Arrival goes by the points' ``seq``;
+    without it, by their order in the batch. With ``now``, a clock, points are routed by age. A handler that fails is
     logged and doesn't stop the others. Without ``every`` what is there is drained and the query ends.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        held = batch.withColumn("seq", F.monotonically_increasing_id()).persist()
+        held = (batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())).persist()
         try:
-            store.append(held, number)
-            if settle:
-                for name in store.rules:
-                    store.settle(name, number)
+            store.append(held, number, now() if now else None)
+            for name, since in store.touched(held).items() if settle else ():
+                store.settle(name, number, since)
             for handler in handlers:
                 try:
                     handler(held, number)
@@ -50,10 +50,10 @@ def ingest(points: DataFrame, store: Store, checkpoint: str, settle: bool = True
 
 
 def buffered(points: DataFrame, step: int, retention: int, wait: int = 10) -> DataFrame:
-    """The write buffer as a stream: the last arrival of each slot, kept until it is ``retention + wait`` seconds old."""
+    """The write buffer as a stream of ``metric, ts, value, seq``: of each slot the last arrival, by ``seq``, given out when the slot is ``retention + wait`` seconds old."""
     timed = points.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", f"{retention + wait} seconds")
     window = F.window("at", f"{step} seconds")
-    return timed.groupBy("metric", window.alias("w")).agg(F.max_by("value", "ts").alias("value")).select("metric", F.unix_seconds("w.start").alias("slot_ts"), "value")
+    return timed.groupBy("metric", window.alias("w")).agg(F.max_by("value", "seq").alias("value")).select("metric", F.unix_seconds("w.start").alias("slot_ts"), "value")
 
 
 def hot_read(buffer: DataFrame, metric: str, step: int, now: int) -> DataFrame:
