@@ -20,8 +20,9 @@ ALIKE = (4, 5)
 CHUNK = 16
 #: 64-bit words of a sketch; centres that a band's other lines are compared with in a round; rows of a band that one place of a join takes.
 WORDS, CENTRES, PLACE = 16, 8, 4096
-#: Rows of 24 bytes that may be broadcast.
+#: Rows of 24 bytes that may be broadcast; bits of a line's name by which lines that nothing needs are ruled out before a shuffle.
 FEW = 200_000
+PART_BITS = 20
 LAST = (1 << 63) - 1
 #: A character that isn't blank.
 INK = r"[^\x20\x09-\x0D]"
@@ -82,13 +83,13 @@ def sketches(texts: DataFrame) -> DataFrame:
 
     Two sketches differ in no more places than two sets in shingles.
     """
+    zero, step = F.lit(0).cast("long"), CHUNK // 2
     sets = texts.select("nid", shingles(F.col("line")).alias("own"))
-    chunks = sets.select("nid", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1, F.lit(CHUNK))).alias("at"))
-    each = chunks.select("nid", F.size("own").alias("size"), *[F.get("own", F.col("at") + k).alias(f"h{k}") for k in range(CHUNK)])
-    bit = "shiftleft(1L, cast(shiftrightunsigned(h{k}, 8) & 63 as int))"
-    placed = each.select("nid", "size", *[F.expr(f"h{k} & {WORDS - 1}").alias(f"p{k}") for k in range(CHUNK)], *[F.expr(bit.format(k=k)).alias(f"b{k}") for k in range(CHUNK)])
-    zero = F.lit(0).cast("long")
-    word = lambda w: reduce(Column.bitwiseXOR, [F.when(F.col(f"p{k}") == w, F.col(f"b{k}")).otherwise(zero) for k in range(CHUNK)])
+    chunks = sets.select("nid", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1, F.lit(step))).alias("at"))
+    each = chunks.select("nid", F.size("own").alias("size"), (F.size("own") - F.col("at")).alias("left"), *[F.coalesce(F.get("own", F.col("at") + k), zero).alias(f"h{k}") for k in range(step)])
+    bit = "shiftleft(if(left > {k}, 1L, 0L), cast(shiftrightunsigned(h{k}, 8) & 63 as int))"
+    placed = each.select("nid", "size", *[F.expr(f"cast(h{k} & {WORDS - 1} as int)").alias(f"p{k}") for k in range(step)], *[F.expr(bit.format(k=k)).alias(f"b{k}") for k in range(step)])
+    word = lambda w: reduce(Column.bitwiseXOR, [F.when(F.col(f"p{k}") == w, F.col(f"b{k}")).otherwise(zero) for k in range(step)])
     return placed.groupBy("nid").agg(F.max("size").alias("size"), *[F.bit_xor(word(w)).alias(f"w{w}") for w in range(WORDS)])
 
 
@@ -132,10 +133,10 @@ class Grouping:
         self.members, self.texts = members, texts
         self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
 
-    def merge(self, links: Stage, least: int = 1) -> None:
+    def merge(self, links: Stage, least: int = 1) -> bool:
         """Take in links between roots; then only bands that still hold several roots, and more than ``least`` rows, stay.
 
-        ``most`` is a band's commonest root.
+        ``most`` is a band's commonest root. Whether at least a tenth as many roots went as rows are still outside it.
         """
         moved = Stage(components(links.df), "moved")
         links.drop()
@@ -145,11 +146,13 @@ class Grouping:
         own, had = self.members.df.filter(F.col("n") > least).drop("most"), self.members
         named = own.select("band", "root").join(to, "root", "left").select("band", F.coalesce("to", "root").alias("root"))
         each = named.groupBy("band", "root").agg(F.count("*").alias("own"))
-        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("most")), "open")
-        self.members = Stage(own.join(bands.df, "band").join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members")
+        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots"), F.sum("own").alias("rows")).filter("roots > 1").select("band", F.col("top.root").alias("most"), (F.col("rows") - F.col("top.own")).alias("apart")), "open")
+        self.members = Stage(own.join(bands.df.select("band", "most"), "band").join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members")
         self.roots = roots
+        went = 10 * moved.count() >= (bands.df.agg(F.sum("apart")).first()[0] or 0)
         for stage in (was, had, moved, bands):
             stage.drop()
+        return went
 
     def centres(self, nth: int) -> DataFrame:
         """Up to ``CENTRES`` members of each band's commonest root, others in each round."""
@@ -177,18 +180,20 @@ def _members(named: DataFrame) -> Stage:
     return held
 
 
-def line_roots(lines: DataFrame, rounds: int = 2) -> tuple[Stage, Stage]:
+def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
     """``node, root`` of lines connected by alike pairs that share a band, and ``nid, l0, l1, bands``, which names lines.
 
     Lines that share a band with another have sketches, by which the joins rule out pairs that can't be alike; what passes is verified
     on the whole sets. First each line is compared with its band's first one. Of bands that still hold several roots, all lines outside
-    the commonest root are compared with some of its members, in ``rounds``, then with all lines of the band that have
-    another root. So most of a large group is connected by few pairs, and no pair of a band is left out.
+    the commonest root are compared with some of its members, in rounds, as long as these connect much; then with all lines of the
+    band that have another root. So most of a large group is connected by few pairs, and no pair of a band is left out.
     """
     named = Stage(signatures(lines).withColumn("nid", F.monotonically_increasing_id()), "bands")
     held = _members(named.df.select("nid", "bands"))
     wanted = Stage(held.df.select("nid").distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
-    texts = Stage(lines.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
+    parts = wanted.df.select(F.shiftrightunsigned("l0", 64 - PART_BITS).alias("part")).distinct()  # 2^PART_BITS rows at most
+    some = lines.withColumn("part", F.shiftrightunsigned("l0", 64 - PART_BITS)).join(F.broadcast(parts), "part", "left_semi").drop("part")
+    texts = Stage(some.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
     wanted.drop()
     sketched = Stage(sketches(texts.df), "sketches")
     members = Stage(held.df.join(sketched.df, "nid").withColumn("root", F.col("nid")), "members")
@@ -196,8 +201,9 @@ def line_roots(lines: DataFrame, rounds: int = 2) -> tuple[Stage, Stage]:
     found = Grouping(members, texts)
     found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), texts.df), 2)
     sketched.drop()
-    for nth in range(rounds):
-        found.merge(_compared(found.apart(), found.centres(nth), texts.df))
+    nth = 0
+    while found.merge(_compared(found.apart(), found.centres(nth), texts.df)) and not found.members.df.isEmpty():
+        nth += 1
     found.merge(_compared(found.members.df, found.apart(), texts.df))
     found.members.drop()
     texts.drop()
