@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 
 from tidemark.llm.models import LabelModel
-from tidemark.llm.toxicity import choose, drop_toxic, score_toxicity
+from tidemark.llm.toxicity import choose, drop_toxic, score_toxicity, weighed
 from tests.llm.helpers import docs
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -46,24 +46,38 @@ def test_without_labels_or_rows(spark):
     assert score_toxicity(docs(spark, []), none).count() == 0
 
 
-def test_label_model_outvotes_a_wrong_label():
+def test_label_model_overrules_wrong_labels():
     rng = np.random.default_rng(0)
-    truth = rng.random(2000) < 0.2
-    votes = np.stack([np.where(rng.random(2000) < 0.9, np.where(truth, 1, -1), np.where(truth, -1, 1)) for _ in range(5)], axis=1)
-    votes = np.column_stack([votes, votes[:, 0]])
-    known = truth.copy()
-    known[:20] = ~known[:20]
-    model = LabelModel()
-    post = model.fit(votes, known.astype(int))
-    assert abs(model.accuracies()[1:5] - 0.9).max() < 0.05
-    assert model.correlations[0, 5] > 0.9 and model.weights[0] < 0.6 < model.weights[1]
-    agree = (votes.sum(axis=1) == np.where(truth, 6, -6))[:20]
-    assert (np.abs(post[:20][agree] - known[:20][agree]) > np.abs(post[20:] - known[20:]).mean()).all()
-
-
-def test_stems_exclude_each_other():
-    got = choose([("vex", 40, 0), ("vex*", 90, 0), ("ve*", 95, 60), ("the", 100, 900), ("rare", 2, 0)], 100, 900)
-    assert got == ["vex*"]
+    truth = rng.random(4000) < 0.3
+    votes = np.stack([np.where(rng.random(4000) < 0.9, np.where(truth, 1, -1), np.where(truth, -1, 1)) for _ in range(7)], axis=1)
+    votes = np.column_stack([votes, votes[:, 0]]).astype(float)
+    label = np.where(np.arange(4000) < 2000, truth, -1).astype(int)
+    label[:200] = 1 - label[:200]
+    model = LabelModel().fit(lambda measure: measure(votes, label, np.ones(4000)))
+    post = model.posterior(votes, label)
+    assert abs(model.accuracies()[1:7] - 0.9).max() < 0.03
+    assert abs(np.exp(model.label_rates).diagonal() - 0.9).max() < 0.03
+    assert model.correlations[0, 7] > 0.9 and model.weights[0] < 0.7 * model.weights[1]
+    assert ((post > 0.5) == truth)[:200].mean() > 0.9  # wrong labels are overruled
+    assert ((post > 0.5) == truth)[200:].mean() > 0.97  # unlabelled rows have posteriors as well
+
+
+def test_stems_exclude_each_other(spark):
+    counts = spark.createDataFrame([("vex", 40, 0), ("vex*", 90, 0), ("ve*", 95, 60), ("the", 100, 900), ("rare", 2, 0), ("clean", 0, 50)], "stem string, toxic long, clean long")
+    scored = {r.stem: r.evidence for r in weighed(counts, 100, 900).collect()}
+    assert set(scored) == {"vex", "vex*", "ve*"}
+    plain = lambda part, size, rate: part * np.log(part / (size * rate)) if part else 0
+    assert abs(scored["vex*"] - 2 * (plain(90, 100, 0.09) + plain(10, 100, 0.91) + plain(0, 900, 0.09) + plain(900, 900, 0.91))) < 1e-5
+    assert choose(list(scored.items())) == ["vex*"]
+
+
+def test_held_out_rows_of_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).filter("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    found = sum(r.predicted for r in got if r.toxic == 1) / sum(r.toxic for r in got)
+    wrong = sum(r.predicted for r in got if r.toxic == 0) / sum(1 - r.toxic for r in got)
+    assert found >= 0.9 and wrong <= 0.01
 
 
 def test_drops_toxic_rows_with_null_and_repeated_ids(spark):

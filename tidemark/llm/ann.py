@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_batches, join_by_group
+from .common import Stage, join_by_group
 from .hnsw import Graph
 
 #: Distinct vectors of a shard, about; queries of a block; width of a search.
@@ -132,15 +132,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, width: int = WIDTH
     longest = {r.dim: float(r.longest) for r in dims}
     shards = {r.dim: -(-r.n // shard_rows) for r in dims}
     count = F.element_at(F.create_map(*[F.lit(x) for pair in (shards or {0: 1}).items() for x in pair]), F.col("dim"))
-    arrow_batches(spark, 1024)
     sharded = points.df.withColumn("shard", F.concat_ws("-", "dim", F.pmod(F.xxhash64("vector", F.lit(1)), count))).select("shard", "vid", "vector")
-    index = Stage(sharded.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard").mapInArrow(_build(longest), INDEX), "index")
-    blocks = Stage(points.df.filter("asks").select("vid", "vector").repartition(F.xxhash64("vid") % (total // (every * QUERY_ROWS) + 1)).mapInArrow(_blocks, "dim int, query_ids binary, queries binary"), "queries")
+    index = Stage(sharded.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard").mapInArrow(_build(longest), INDEX), "index", 1024)
+    blocks = Stage(points.df.filter("asks").select("vid", "vector").repartition(F.xxhash64("vid") % (total // (every * QUERY_ROWS) + 1)).mapInArrow(_blocks, "dim int, query_ids binary, queries binary"), "queries", 1024)
     spread = blocks.df.withColumn("part", F.explode(F.sequence(F.lit(0), count.cast("int") - 1))).withColumn("shard", F.concat_ws("-", "dim", "part")).drop("dim", "part")
-    arrow_batches(spark, 4)
     pairs = spread.repartition(F.xxhash64("queries", "shard")).join(index.df, "shard")
-    hits = Stage(pairs.mapInArrow(_search(k + 1, width, longest), "query long, vid long, score double"), "hits")
-    arrow_batches(spark, 8192)
+    hits = Stage(pairs.mapInArrow(_search(k + 1, width, longest), "query long, vid long, score double"), "hits", 4)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
     best = hits.df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).join(points.df.select("vid", "ids"), "vid")
     listed = best.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("nth") <= k + 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one is made only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -50,13 +52,19 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
+def batches_of(spark: SparkSession, rows: int | None) -> AbstractContextManager:
+    """The size of Arrow batches in a block."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)) if rows else nullcontext()
+
+
 class Stage:
     """A table written to the shared folder: cuts lineage and outlives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, batch: int | None = None):
+        """``batch``: rows of an Arrow batch while the table is made."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-        with setting(self.spark, CLEANUP, "true"):
+        with setting(self.spark, CLEANUP, "true"), batches_of(self.spark, batch):
             df.write.parquet(self.path)
 
     @property
@@ -73,30 +81,11 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """The size of the Arrow batches of what the session plans from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Lower the session's Arrow batch size where it is above ``rows``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def sheltered(docs: DataFrame, *own: str) -> DataFrame:
     """``docs`` with all columns but ``own`` renamed by place, so that no helper column clashes; ``toDF`` gives them back."""
     return docs.toDF(*[c if c in own else f"_in{i}" for i, c in enumerate(docs.columns)])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished jobs now, not when the driver's garbage happens to be collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, though a lambda in it reads the value for each of its elements."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -144,3 +133,34 @@ def salted_join(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame,
     dealt = rows.join(F.broadcast(places.filter("_places > 1")), key, "left").withColumn("_place", F.pmod(F.xxhash64(*by), F.coalesce("_places", F.lit(1))).cast("int")).drop("_places")
     repeated = places.join(wide, key).withColumn("_place", F.explode(F.sequence(F.lit(0), F.col("_places") - 1))).drop("_places")
     return dealt.join(repeated, [key, "_place"]).drop("_place")
+
+
+#: Parts that a task's sums are cut into.
+PARTS = 16
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            done[part] = done.get(part, 0) + np.frombuffer(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([x.tobytes() for x in done.values()], pa.binary())], ["part", "sums"])
+
+
+def summed(rows: DataFrame, measure: Callable[..., np.ndarray], *given) -> np.ndarray | None:
+    """The sum over all batches of ``rows`` of ``measure(batch, *given)``, a flat array of one length; None without rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(given)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = None
+        for batch in batches:
+            if batch.num_rows:
+                got = measure(batch, *shared.value)
+                done = got if done is None else done + got
+        if done is not None:
+            cut = np.array_split(done, PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["part", "sums"])
+
+    parts = rows.mapInArrow(partial, "part int, sums binary").repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").collect()  # PARTS rows
+    shared.unpersist()
+    return np.concatenate([np.frombuffer(r.sums) for r in sorted(parts)]) if parts else None

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, small_batches
+from .common import TEXT_BATCH, Stage
 
 CAPACITY = 2048
 END = 0
@@ -177,9 +177,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     the path of a byte-level BPE file that executors can read too.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity), schema), "pieces")
+    pieces = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, capacity), schema), "pieces", TEXT_BATCH)
     buckets = max(16, min(MAX_BUCKETS, pieces.count() // BUCKET_ROWS))
     rows = pieces.df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = Stage(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BATCH, Stage, arrow_batches, small_batches
+from .common import ROW_BATCH, TEXT_BATCH, Stage, batches_of, summed
 from .models import derivatives, linear, logistic_regression, logit, newton, platt, sigmoid
 from .toxicity import held_out
 
@@ -25,50 +25,49 @@ CONFIDENT = 0.95
 #: Log-odds are counted in bins of this width up to the largest; rows of the bin that completes the share all pass.
 BIN, MOST = 0.005, 30
 BINS = int(MOST / BIN) + 1
-#: Weight of a row with a pseudo-label, and the parts that a task's sums are cut into.
+#: Weight of a row with a pseudo-label.
 PSEUDO = 0.5
-PARTS = 16
 CUT = 0.5
 
 SHAPES, SOURCES, LANGS = 192, 64, 16
-CONTENT = SHAPES + 6
-METADATA = SOURCES + LANGS + 6
+CONTENT = SHAPES + 3
+METADATA = SOURCES + LANGS + 5
 
 _RUNS = ((re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9"))
 
 
 class Shapes(dict):
-    """The bucket of a word's shape: runs of letters, capitals and digits folded, the rest as it stands."""
+    """The bucket of a word's shape: its runs of letters, capitals and digits folded, its signs as they stand, and its length in steps."""
 
     def __missing__(self, word: str) -> int:
-        shape = word[:64]
+        shape = word
         for pattern, sign in _RUNS:
             shape = pattern.sub(sign, shape)
         if len(self) > 500_000:
             self.clear()
-        self[word] = found = zlib.crc32(f"{shape[:12]}{min(len(word), 24) // 4}".encode()) % SHAPES
+        self[word] = found = zlib.crc32(f"{shape}{min(len(word), 24) // 4}".encode()) % SHAPES
         return found
 
 
 def content(text: str | None, shapes: Shapes) -> np.ndarray:
-    """The view of the text's words: shares of word shapes, and how much words repeat."""
+    """The view of the text's words, with the signs that stand in them: shares of their shapes, and how much words repeat."""
     out = np.zeros(CONTENT, dtype=np.float32)
     own = (text or "").split()
     if n := len(own):
         out[:SHAPES] = np.bincount(list(map(shapes.__getitem__, own)), minlength=SHAPES) / n * 4
         distinct = len(set(own))
-        out[SHAPES:] = [distinct / n, sum(map(eq, own, own[1:])) / n * 4, distinct / n**0.7, n < 10, np.log1p(n) / 4, text.isupper()]
+        out[SHAPES:] = [distinct / n, sum(map(eq, own, own[1:])) / n * 4, distinct / n**0.7]
     return out
 
 
 def metadata(source: str | None, lang: str | None, text: str | None) -> np.ndarray:
-    """The view of the page: where it comes from, and its measures and layout."""
+    """The view of the page without its words: where it comes from, its size, its lines and its blanks."""
     out = np.zeros(METADATA, dtype=np.float32)
     out[zlib.crc32(repr(source).encode()) % SOURCES] = 1
     out[SOURCES + zlib.crc32(repr(lang).encode()) % LANGS] = 1
     text = text or ""
     chars, lines, blanks = len(text), text.count("\n") + 1, text.count(" ") + text.count("\n")
-    out[SOURCES + LANGS :] = [np.log1p(chars) / 4, np.log1p(lines), np.log1p(chars / lines) / 3, chars / (blanks + 1) / 6, blanks / max(chars, 1) * 4, sum(map(text.count, "|!%&$#*")) / max(chars, 1) * 10]
+    out[SOURCES + LANGS :] = [np.log1p(chars) / 4, np.log1p(lines), np.log1p(chars / lines) / 3, blanks / max(chars, 1) * 4, chars < 60]
     return out
 
 
@@ -140,32 +139,16 @@ class Pool:
         self.rows, self.size = rows, rows.count()
 
     def total(self, measure, *given) -> np.ndarray:
-        shared = self.rows.sparkSession.sparkContext.broadcast(given)
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done = None
-            for batch in batches:
-                if batch.num_rows:
-                    got = measure(_views(batch), *shared.value)
-                    done = got if done is None else done + got
-            if done is not None:
-                cut = np.array_split(done, PARTS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["part", "sums"])
-
-        parts = self.rows.mapInArrow(partial, "part int, sums binary").repartition(PARTS, "part").mapInArrow(_added, "part int, sums binary").collect()  # PARTS rows
-        return np.concatenate([np.frombuffer(r.sums) for r in sorted(parts)])
+        with batches_of(self.rows.sparkSession, ROW_BATCH):
+            return summed(self.rows, _measured, measure, *given)
 
 
 def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(c.to_pylist()), dtype=np.float32).reshape(batch.num_rows, -1) for c in batch.columns[-2:]]
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            done[part] = done.get(part, 0) + np.frombuffer(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([x.tobytes() for x in done.values()], pa.binary())], ["part", "sums"])
+def _measured(batch: pa.RecordBatch, measure, *given) -> np.ndarray:
+    return measure(_views(batch), *given)
 
 
 class CoTraining:
@@ -175,7 +158,7 @@ class CoTraining:
         self.rounds = rounds
 
     def fit(self, views: list[np.ndarray], y: np.ndarray, pools, check: np.ndarray) -> CoTraining:
-        """``check`` marks labelled rows that are kept for calibration; ``pools`` is a pool or its two views."""
+        """``check`` marks labelled rows that are kept: half of them calibrate each view, the others weigh both; ``pools`` is a pool or its two views."""
         pool = LocalPool(pools) if isinstance(pools, list) else pools
         train, rules = ~check, []
         rate = y[train].mean()
@@ -185,8 +168,11 @@ class CoTraining:
             counts = pool.total(_counts, self.betas).reshape(2, 2, BINS)
             rules.append((self.betas, [[self._limit(counts[i, label], pool.size * share) for label, share in ((0, 1 - rate), (1, rate))] for i in (0, 1)]))
             self._refit(own, y[train], pool, rules)
-        self.scales = [platt(linear(v[check], b), y[check]) for v, b in zip(views, self.betas, strict=True)]
-        self.joint = logistic_regression(np.column_stack(self.margins([v[check] for v in views])), y[check], penalty=0.1)
+        scale, join = np.flatnonzero(check)[::2], np.flatnonzero(check)[1::2]
+        if len(set(y[scale])) < 2 or len(set(y[join])) < 2:
+            scale = join = np.flatnonzero(check)
+        self.scales = [platt(linear(v[scale], b), y[scale]) for v, b in zip(views, self.betas, strict=True)]
+        self.joint = logistic_regression(np.column_stack(self.margins([v[join] for v in views])), y[join], penalty=0.1)
         return self
 
     @staticmethod
@@ -196,7 +182,7 @@ class CoTraining:
         full = np.flatnonzero(upward >= np.ceil(PASSED * rows))
         return max(int(full[-1]) if len(full) else 0, int(np.ceil(logit(CONFIDENT) / BIN)))
 
-    def _refit(self, own: list[np.ndarray], y: np.ndarray, pool, rules: list, steps: int = 25) -> None:
+    def _refit(self, own: list[np.ndarray], y: np.ndarray, pool, rules: list, steps: int = 10) -> None:
         """Newton's method for both views at once, from where they stand; one pass over the pool a step."""
         betas = list(self.betas)
         for _ in range(steps):
@@ -209,7 +195,7 @@ class CoTraining:
                 at += n + n * n + 1
                 betas[i], size = newton(slope, curve, betas[i], 1.0)
                 sizes.append(size)
-            if max(sizes) < 1e-6:
+            if max(sizes) < 1e-4:
                 break
         self.betas = [np.round(b, 8) for b in betas]  # sums over tasks differ in their last digits
 
@@ -251,9 +237,9 @@ def fit(rows: DataFrame, labels: DataFrame, fit_rows: int) -> CoTraining | None:
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every document: ``doc_id, held_out, content_score, metadata_score, score, keep``.
 
-    Scores are the calibrated chances of quality 1, by the words, by source, language, measures and
-    layout, and by both; ``keep`` is 1 from 0.5 on. Labels are learnt from rows outside the held-out third,
-    ``fit_rows`` at most, a quarter of which only calibrates. Pseudo-labels go to all rows without labels: each
+    Scores are the calibrated chances of quality 1, by the words, by source, language, size, lines and
+    blanks, and by both; ``keep`` is 1 from 0.5 on. Labels are learnt from rows outside the held-out third,
+    ``fit_rows`` at most, a quarter of which only calibrates: one half of it each view, the other half their combination. Pseudo-labels go to all rows without labels: each
     round counts both views' log-odds over all of them, and fits on sums of gradients and Hessians of those
     that are sure enough. Every row is scored on its whole text.
 
@@ -262,10 +248,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     doc_id, text, source and lang aren't read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    rows = Stage(plain.mapInArrow(_rows, "doc_id long, content binary, metadata binary"), "views").df
-    arrow_batches(spark, ROW_BATCH)
+    rows = Stage(plain.mapInArrow(_rows, "doc_id long, content binary, metadata binary"), "views", TEXT_BATCH).df
     model = spark.sparkContext.broadcast(fit(rows, labels, fit_rows))
     schema = "doc_id long, held_out boolean, content_score double, metadata_score double, score double"
     return rows.select("doc_id", held_out().alias("held_out"), "content", "metadata").mapInArrow(_scored(model), schema).withColumn("keep", (F.col("score") >= CUT).cast("int"))

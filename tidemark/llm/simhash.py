@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BATCH, TEXT_BATCH, Stage, arrow_batches, join_by_group
+from .common import TEXT_BATCH, Stage, join_by_group
 from .graph import components
 from .near import drop_near_copies  # noqa: F401
 
@@ -293,9 +293,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others. Repeated rows repeat in the result; a null id never is a component's name unless all its
     ids are null. Long texts are read whole. An empty table gives no rows. Other columns aren't read.
     """
-    arrow_batches(docs.sparkSession, TEXT_BATCH)
-    prints = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
-    arrow_batches(docs.sparkSession, ROW_BATCH)
+    prints = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"), "prints", TEXT_BATCH)
     nodes = Stage(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(fingerprint_links(nodes.df.select("fp"), paired)).select(F.col("node").alias("fp"), "root")
     named = nodes.df.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

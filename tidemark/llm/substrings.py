@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, contains, mixed
-from .common import Stage, join_by_group, sheltered, small_batches
+from .common import TEXT_BATCH, Stage, join_by_group, sheltered
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -153,11 +153,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """``docs`` (any columns, among them doc_id and text) with arrays ``lows`` and ``highs`` of the words to remove."""
     spark = docs.sparkSession
-    small_batches(spark)
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
     keyed = docs.withColumn("_row", F.xxhash64(rank, F.col("text")))
     source = keyed.select(F.col("_row").alias("row"), rank.alias("rank"), "text")
-    units = Stage(source.mapInArrow(_units(window, seed), "anchor long, unit long, rank long, row long, low int, high int"), "units")
+    units = Stage(source.mapInArrow(_units(window, seed), "anchor long, unit long, rank long, row long, low int, high int"), "units", TEXT_BATCH)
     groups = Stage(units.df.groupBy("anchor", "unit").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")), "groups")
     total = units.count()
 
@@ -167,7 +166,7 @@ def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
     several = groups.df.groupBy("anchor").agg(F.count("*").alias("units"), F.min("first").alias("low"), F.max("first").alias("high")).filter("units > 1 and low < high").select("anchor", "units")
     closer = Stage(join_by_group(groups.df.select("anchor", "unit", "first"), several, "anchor", "units", total).select("unit", "first"), "closer")
     filter_ = spark.sparkContext.broadcast(bloom_filter(closer.df.mapInArrow(_looks, "look long"), closer.count(), FILTER_BITS))
-    windows = Stage(source.mapInArrow(_windows(window, seed, filter_), "anchor long, window long, rank long, row long, low int"), "windows")
+    windows = Stage(source.mapInArrow(_windows(window, seed, filter_), "anchor long, window long, rank long, row long, low int"), "windows", TEXT_BATCH)
     least = windows.df.groupBy("anchor", "window").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
     part = join_by_group(windows.df, least, ["anchor", "window"], "n", windows.count()).filter("rank > first").select("row", "low", (F.col("low") + window).alias("high"))
 
@@ -190,11 +189,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WO
     and an empty table gives no rows. Other columns aren't read.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _marked(plain, window, seed).select("doc_id", "text", "lows", "highs").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return Stage(_marked(plain, window, seed).select("doc_id", "text", "lows", "highs").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "passages", TEXT_BATCH).df
 
 
 def cut_repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
     """The input's rows and columns with those passages cut from ``text``; a text that loses any has its words joined by one space."""
     safe = sheltered(docs, "doc_id", "text")
-    out = _marked(safe, window, seed).mapInArrow(_cut, safe.schema)
-    return out.toDF(*docs.columns)
+    return Stage(_marked(safe, window, seed).mapInArrow(_cut, safe.schema), "passages", TEXT_BATCH).df.toDF(*docs.columns)
