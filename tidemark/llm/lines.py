@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stage, join_by_group, let, salted_join, sheltered
-from .graph import components
+from .groups import ALIKE, WORDS, members_of, roots_of
 
 SHINGLE = 8
 #: At a similarity of 0.8, eight bands of three rows bring 99.7 % of pairs together.
 BANDS, ROWS = 8, 3
-#: Least similarity, as a fraction.
-ALIKE = (4, 5)
 #: Shingles that one row takes at once.
 CHUNK = 16
-#: 64-bit words of a sketch; centres that a band's other lines are compared with in a round; rows of a band that one place of a join takes.
-WORDS, CENTRES, PLACE = 16, 8, 4096
-#: Rows of 24 bytes that may be broadcast; bits of a line's name by which lines that nothing needs are ruled out before a shuffle.
-FEW = 200_000
+#: Bits of a line's name by which lines that nothing needs are ruled out before a shuffle.
 PART_BITS = 20
 LAST = (1 << 63) - 1
 #: A character that isn't blank.
@@ -93,13 +87,6 @@ def sketches(texts: DataFrame) -> DataFrame:
     return placed.groupBy("nid").agg(F.max("size").alias("size"), *[F.bit_xor(word(w)).alias(f"w{w}") for w in range(WORDS)])
 
 
-def _may_be_alike(x: str, y: str) -> Column:
-    """False only where the sketches of two rows prove that the lines aren't alike."""
-    up, down = ALIKE
-    apart = reduce(add, [F.bit_count(F.col(f"{x}.w{w}").bitwiseXOR(F.col(f"{y}.w{w}"))) for w in range(WORDS)])
-    return (up + down) * apart <= (down - up) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs ``a, b, ..`` of lines, a written table, those that are alike, exactly."""
     left = salted_join(pairs, texts.select(F.col("nid").alias("a"), F.col("line").alias("x")), "a", pairs, ["a", "b"])
@@ -110,86 +97,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.filter((up + down) * same >= up * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
-def _compared(some: DataFrame, others: DataFrame, texts: DataFrame) -> Stage:
-    """Links ``a, b`` between roots: of rows of ``some`` and ``others`` of one band and different roots, those with lines that are alike.
-
-    Both have ``band, nid, root, size, w0..``, ``some`` also ``n``, a band's rows, by which crowded bands are dealt over many places.
-    """
-    places = F.ceil(F.col("n") / PLACE).cast("int")
-    x = some.withColumn("place", F.pmod(F.xxhash64("nid"), places).cast("int")).alias("x")
-    y = others.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y"))
-    a, b = F.struct("x.nid", "x.root"), F.struct("y.nid", "y.root")
-    pairs = Stage(near.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")), "pairs")
-    links = Stage(verified(pairs.df, texts).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
-    pairs.drop()
-    return links
-
-
-class Grouping:
-    """Members of bands ``band, n, nid, size, w0.., root``, and the root of each line that isn't its own."""
-
-    def __init__(self, members: Stage, texts: Stage):
-        self.members, self.texts = members, texts
-        self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
-
-    def merge(self, links: Stage, least: int = 1) -> bool:
-        """Take in links between roots; then only bands that still hold several roots, and more than ``least`` rows, stay.
-
-        ``most`` is a band's commonest root. Whether at least a tenth as many roots went as rows are still outside it.
-        """
-        moved = Stage(components(links.df), "moved")
-        links.drop()
-        to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        old = self.roots.df.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
-        own, had = self.members.df.filter(F.col("n") > least).drop("most"), self.members
-        named = own.select("band", "root").join(to, "root", "left").select("band", F.coalesce("to", "root").alias("root"))
-        each = named.groupBy("band", "root").agg(F.count("*").alias("own"))
-        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots"), F.sum("own").alias("rows")).filter("roots > 1").select("band", F.col("top.root").alias("most"), (F.col("rows") - F.col("top.own")).alias("apart")), "open")
-        self.members = Stage(own.join(bands.df.select("band", "most"), "band").join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members")
-        self.roots = roots
-        went = 10 * moved.count() >= (bands.df.agg(F.sum("apart")).first()[0] or 0)
-        for stage in (was, had, moved, bands):
-            stage.drop()
-        return went
-
-    def centres(self, nth: int) -> DataFrame:
-        """Up to ``CENTRES`` members of each band's commonest root, others in each round."""
-        fields = [c for c in self.members.df.columns if c not in ("band", "most")]
-        order = F.xxhash64(F.lit(nth), "nid")
-        return self.members.df.filter("root = most").groupBy("band", F.pmod(order, F.lit(CENTRES)).alias("slot")).agg(F.min_by(F.struct(*fields), order).alias("c")).select("band", "c.*")
-
-    def apart(self) -> DataFrame:
-        return self.members.df.filter("root <> most")
-
-
-def _members(named: DataFrame) -> Stage:
-    """``band, n, first, nid`` for lines that share a band, of ``nid, bands``.
-
-    Two lines in a band are known by the least and the greatest; only larger bands are joined to their lines.
-    """
-    spread = named.select("nid", F.explode("bands").alias("band"))
-    groups = Stage(spread.groupBy("band").agg(F.min("nid").alias("first"), F.max("nid").alias("last"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    two = groups.df.filter("n = 2").select("band", "n", "first", F.explode(F.array("first", "last")).alias("nid"))
-    large = groups.df.filter("n > 2").select("band", "n", "first")
-    number = large.count()
-    met = spread.join(F.broadcast(large), "band") if number <= FEW else join_by_group(spread, large, "band", "n", named.count() * BANDS)
-    held = Stage(two.unionByName(met.select("band", "n", "first", "nid")), "held")
-    groups.drop()
-    return held
-
-
 def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
-    """``node, root`` of lines connected by alike pairs that share a band, and ``nid, l0, l1, bands``, which names lines.
-
-    Lines that share a band with another have sketches, by which the joins rule out pairs that can't be alike; what passes is verified
-    on the whole sets. First each line is compared with its band's first one. Of bands that still hold several roots, all lines outside
-    the commonest root are compared with some of its members, in rounds, as long as these connect much; then with all lines of the
-    band that have another root. So most of a large group is connected by few pairs, and no pair of a band is left out.
-    """
+    """``node, root`` of lines connected by alike pairs that share a band, and ``nid, l0, l1, bands``, which names lines."""
     named = Stage(signatures(lines).withColumn("nid", F.monotonically_increasing_id()), "bands")
-    held = _members(named.df.select("nid", "bands"))
+    held = members_of(named.df.select("nid", "bands"), BANDS)
     wanted = Stage(held.df.select("nid").distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
     parts = wanted.df.select(F.shiftrightunsigned("l0", 64 - PART_BITS).alias("part")).distinct()  # 2^PART_BITS rows at most
     some = lines.withColumn("part", F.shiftrightunsigned("l0", 64 - PART_BITS)).join(F.broadcast(parts), "part", "left_semi").drop("part")
@@ -198,16 +109,10 @@ def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
     sketched = Stage(sketches(texts.df), "sketches")
     members = Stage(held.df.join(sketched.df, "nid").withColumn("root", F.col("nid")), "members")
     held.drop()
-    found = Grouping(members, texts)
-    found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), texts.df), 2)
     sketched.drop()
-    nth = 0
-    while found.merge(_compared(found.apart(), found.centres(nth), texts.df)) and not found.members.df.isEmpty():
-        nth += 1
-    found.merge(_compared(found.members.df, found.apart(), texts.df))
-    found.members.drop()
+    roots = roots_of(members, lambda pairs: verified(pairs, texts.df))
     texts.drop()
-    return found.roots, named
+    return roots, named
 
 
 def repeated_lines(docs: DataFrame) -> Stage:
