@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Stage, join_by_group
+from .common import BLANK, Stage, join_by_group, sheltered
 
-#: Bits of the filter for a row, and the most bits it may have: 32 MB, whatever the input.
+#: Bits of a filter for a row, and the most bits of one filter: 32 MB. More digests than suit one are split by their first bits.
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 28
 BLOCK_BITS = 1 << 15
 PROBES = 4
+#: Copies of one row that are listed at once.
+SPREAD = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -90,19 +92,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeat_filter(digests: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     """First pass: the bits of all digests that occur more than once, and some others.
 
-    Each task fills a filter of its own; the tasks' blocks, compressed, meet by block number.
-    The result has at most ``MAX_BITS`` bits. With more rows than that suits, more digests are
-    taken for repeated and shuffle; results stay the same.
+    Each task fills a filter of its own; the tasks' blocks, compressed, meet by block number. The filter grows with ``rows``.
     """
     bits = BLOCK_BITS
-    while bits < min(rows * BITS_PER_ROW, MAX_BITS):
+    while bits < rows * BITS_PER_ROW:
         bits *= 2
     blocks = bits // BLOCK_BITS
     parts = digests.mapInArrow(_build(blocks), "block int, seen binary, again binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, again binary")
     again = np.zeros(bits // 8, dtype=np.uint8)
     size = BLOCK_BITS // 8
-    for block, packed in merged.collect():  # one row per block: bounded by MAX_BITS
+    for block, packed in merged.collect():  # one row per block of one filter
         again[block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
     return again, blocks
 
@@ -117,11 +117,29 @@ def _split(filter_, blocks: int, repeated: bool):
     return split
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _grouped(digests: DataFrame, rows: int) -> DataFrame:
+    """``doc_id, keep_id, group_size, kept, sha`` of the digests of one filter."""
+    spark = digests.sparkSession
+    again, blocks = repeat_filter(digests.select("sha"), rows)
+    filter_ = spark.sparkContext.broadcast(again)
+    schema = "doc_id long, sha binary"
+    maybe = Stage(digests.mapInArrow(_split(filter_, blocks, True), schema).groupBy("sha", "doc_id").agg(F.count("*").alias("copies")), "repeated")
+    groups = maybe.df.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    met = join_by_group(maybe.df, groups, "sha", "group_size", rows)
+    spread = met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {SPREAD}"))))  # copies of one row, in parts
+    each = spread.withColumn("nth", F.explode(F.expr(f"sequence(part * {SPREAD}, least(copies, (part + 1) * {SPREAD}) - 1)")))
+    found = each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"), "sha")
+    alone = digests.mapInArrow(_split(filter_, blocks, False), schema).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    return found.unionByName(alone)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MAX_BITS) -> DataFrame:
     """Group documents whose texts are equal after folding runs of blanks into one space.
 
     One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``. Texts are read
-    once, for their digests; only rows whose digest the filter finds possibly repeated shuffle.
+    once, for their digests; only rows whose digest the filter finds possibly repeated shuffle. A filter has ``most_bits``
+    bits at most; of more rows than suit that, digests are written by their first bits, in as many parts as it takes, each
+    with a filter of its own, so that the share of rows that shuffle doesn't grow with the table.
 
     Null texts count as empty, and empty texts equal each other. Of equal texts the row with the
     smallest id stays; of repeated rows with that same id, one does; a null id stays only if
@@ -130,22 +148,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     digests = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("sha")), "digests")
-    rows = digests.count()
-    again, blocks = repeat_filter(digests.df.select("sha"), rows)
-    filter_ = spark.sparkContext.broadcast(again)
-    schema = "doc_id long, sha binary"
-    maybe = Stage(digests.df.mapInArrow(_split(filter_, blocks, True), schema).groupBy("sha", "doc_id").agg(F.count("*").alias("copies")), "repeated")
-    groups = maybe.df.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    found = (
-        join_by_group(maybe.df, groups, "sha", "group_size", rows)
-        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "sha")
-    )
-    alone = digests.df.mapInArrow(_split(filter_, blocks, False), schema).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    return found.unionByName(alone).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
+    rows, parts = digests.count(), 1
+    while rows * BITS_PER_ROW > most_bits * parts:
+        parts *= 2
+    if parts == 1:
+        return _named(_grouped(digests.df, rows))
+    path = f"{digests.path}-parts"
+    part = F.pmod(F.conv(F.hex(F.substring("sha", 25, 4)), 16, 10).cast("long"), F.lit(parts)).cast("int")
+    digests.df.withColumn("part", part).write.partitionBy("part").parquet(path)
+    digests.drop()
+    for i in range(parts):
+        own = spark.read.parquet(path).filter(F.col("part") == i).drop("part")
+        _grouped(own, max(1, own.count())).write.mode("append").parquet(f"{path}-done")
+    return _named(spark.read.parquet(f"{path}-done"))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, with all its columns, without copies of another row's text; ids must be unique."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    """The input's rows, with all its columns, without copies of another row's text, whatever their ids: of rows that repeat id and text one stays."""
+    rows = sheltered(docs, id_col, text_col)
+    keyed = rows.withColumn("_sha", F.lower(F.sha2(normalised(F.col(text_col)), 256)))
+    kept = exact_groups(rows, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
+    met = keyed.join(kept, (keyed["_sha"] == kept["_sha"]) & keyed[id_col].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
+    return met.dropDuplicates(["_sha"]).select(rows.columns).toDF(*docs.columns)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, WORD, Stage, null_key, sheltered
 
-#: Rows that a bucket of a source's random order should have, and the most hex digits of a bucket.
+#: Rows that a bucket of a source's random order should have; there are as many hex digits of a bucket as that takes.
 BUCKET_ROWS = 4096
-MAX_DIGITS = 4
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -60,7 +59,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = Stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), null_key(F.col(source_col)).alias("skey"), size.alias("size"), key.alias("key"), *row), "sizes")
     rows, digits = sized.count(), 2
-    while digits < MAX_DIGITS and rows > BUCKET_ROWS * 16**digits:
+    while rows > BUCKET_ROWS * 16**digits:
         digits += 1
     bucketed = sized.df.withColumn("bucket", F.substring("key", 1, digits))
     sums = Stage(bucketed.groupBy("skey", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")), "buckets")

@@ -154,24 +154,24 @@ def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
     """``docs`` (any columns, among them doc_id and text) with arrays ``lows`` and ``highs`` of the words to remove."""
     spark = docs.sparkSession
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    keyed = docs.withColumn("_row", F.xxhash64(rank, F.col("text")))
-    source = keyed.select(F.col("_row").alias("row"), rank.alias("rank"), "text")
+    keyed = docs.withColumns({"_row": F.xxhash64("text"), "_rank": rank})
+    source = keyed.select(F.col("_row").alias("row"), F.col("_rank").alias("rank"), "text")
     units = Stage(source.mapInArrow(_units(window, seed), "anchor long, unit long, rank long, row long, low int, high int"), "units", TEXT_BATCH)
     groups = Stage(units.df.groupBy("anchor", "unit").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")), "groups")
     total = units.count()
 
     copied = groups.df.filter("first < last").select("anchor", "unit", "first", "n")
-    whole = join_by_group(units.df, copied, ["anchor", "unit"], "n", total).filter("rank > first").select("row", "low", "high")
+    whole = join_by_group(units.df, copied, ["anchor", "unit"], "n", total).filter("rank > first").select("rank", "row", "low", "high")
 
     several = groups.df.groupBy("anchor").agg(F.count("*").alias("units"), F.min("first").alias("low"), F.max("first").alias("high")).filter("units > 1 and low < high").select("anchor", "units")
     closer = Stage(join_by_group(groups.df.select("anchor", "unit", "first"), several, "anchor", "units", total).select("unit", "first"), "closer")
     filter_ = spark.sparkContext.broadcast(bloom_filter(closer.df.mapInArrow(_looks, "look long"), closer.count(), FILTER_BITS))
     windows = Stage(source.mapInArrow(_windows(window, seed, filter_), "anchor long, window long, rank long, row long, low int"), "windows", TEXT_BATCH)
     least = windows.df.groupBy("anchor", "window").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
-    part = join_by_group(windows.df, least, ["anchor", "window"], "n", windows.count()).filter("rank > first").select("row", "low", (F.col("low") + window).alias("high"))
+    part = join_by_group(windows.df, least, ["anchor", "window"], "n", windows.count()).filter("rank > first").select("rank", "row", "low", (F.col("low") + window).alias("high"))
 
-    ranges = whole.unionByName(part).groupBy("row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    return keyed.join(ranges.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left").drop("_row")
+    ranges = whole.unionByName(part).groupBy("rank", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    return keyed.join(ranges.withColumnsRenamed({"row": "_row", "rank": "_rank"}), ["_rank", "_row"], "left").drop("_row", "_rank")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
