@@ -54,3 +54,21 @@ def test_odd_rows_and_copies(spark):
     assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     assert found[0][0] == (1, 5.0) and len(found[140]) == 1
     assert nearest(frame(spark, [])).count() == 0
+
+
+def test_doubles_stay_doubles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(size=6) * 1e60]) for i in range(100)]
+    frame_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    for q, hits in got(frame_).items():
+        order = sorted(((-float(x[q] @ x[i]), i) for i in range(100) if i != q))[:20]
+        assert [i for i, _ in hits] == [i for _, i in order] and all(s == -want or abs(s / want + 1) < 1e-12 for (_, s), (want, _) in zip(hits, order, strict=True))
+
+
+def test_recall_on_the_embeddings(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.select("vec_id", "embedding").collect()]
+    want, found = brute(rows), got(vectors, shard_rows=400)
+    assert set(want) == set(found)
+    assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in found[q]}) / max(len(want[q]), 1) for q in want]) >= 0.95
