@@ -27,33 +27,34 @@ def _may_be_alike(x: str, y: str) -> Column:
     return (up + down) * apart <= (down - up) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
-def members_of(named: DataFrame, bands: int) -> Stage:
-    """``band, n, first, nid`` for what shares a band with another, of ``nid, bands``.
+def members_of(named: DataFrame, bands: int) -> tuple[Stage, Stage]:
+    """``band, n, first, nid`` for what shares a band with more than one other, of ``nid, bands``; and pairs ``a, b`` that share a band with no other.
 
     Two in a band are known by the least and the greatest; only larger bands are joined to their members.
     """
     spread = named.select("nid", F.explode("bands").alias("band"))
     groups = Stage(spread.groupBy("band").agg(F.min("nid").alias("first"), F.max("nid").alias("last"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    two = groups.df.filter("n = 2").select("band", "n", "first", F.explode(F.array("first", "last")).alias("nid"))
+    two = Stage(groups.df.filter("n = 2").select(F.col("last").alias("a"), F.col("first").alias("b")).distinct(), "two")
     large = groups.df.filter("n > 2").select("band", "n", "first")
-    number = large.count()
-    met = spread.join(F.broadcast(large), "band") if number <= FEW else join_by_group(spread, large, "band", "n", named.count() * bands)
-    held = Stage(two.unionByName(met.select("band", "n", "first", "nid")), "held")
+    met = spread.join(F.broadcast(large), "band") if large.count() <= FEW else join_by_group(spread, large, "band", "n", named.count() * bands)
+    held = Stage(met.select("band", "n", "first", "nid"), "held")
     groups.drop()
-    return held
+    return held, two
 
 
-def _compared(some: DataFrame, others: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Stage:
+def _compared(some: DataFrame, others: DataFrame, verify: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> Stage:
     """Links ``a, b`` between roots: of rows of ``some`` and ``others`` of one band and different roots, those that are alike.
 
     Both have ``band, nid, root, size, w0..``, ``some`` also ``n``, a band's rows, by which crowded bands are dealt over many places.
+    ``more``: pairs ``a, b, ra, rb`` to verify as well.
     """
     places = F.ceil(F.col("n") / PLACE).cast("int")
     x = some.withColumn("place", F.pmod(F.xxhash64("nid"), places).cast("int")).alias("x")
     y = others.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).alias("y")
     near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.root") != F.col("y.root")) & _may_be_alike("x", "y"))
     a, b = F.struct("x.nid", "x.root"), F.struct("y.nid", "y.root")
-    pairs = Stage(near.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb")), "pairs")
+    found = near.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).select(F.col("a.nid").alias("a"), F.col("b.nid").alias("b"), F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
+    pairs = Stage((found if more is None else found.unionByName(more)).distinct(), "pairs")
     links = Stage(verify(pairs.df).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
     pairs.drop()
     return links
@@ -66,8 +67,8 @@ class Grouping:
         self.members = members
         self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
 
-    def merge(self, links: Stage, least: int = 1) -> bool:
-        """Take in links between roots; then only bands that still hold several roots, and more than ``least`` rows, stay.
+    def merge(self, links: Stage) -> bool:
+        """Take in links between roots; then only bands that still hold several roots stay.
 
         ``most`` is a band's commonest root. Whether at least a tenth as many roots went as rows are still outside it.
         """
@@ -76,7 +77,7 @@ class Grouping:
         to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
         old = self.roots.df.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
-        own, had = self.members.df.filter(F.col("n") > least).drop("most"), self.members
+        own, had = self.members.df.drop("most"), self.members
         named = own.select("band", "root").join(to, "root", "left").select("band", F.coalesce("to", "root").alias("root"))
         each = named.groupBy("band", "root").agg(F.count("*").alias("own"))
         bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots"), F.sum("own").alias("rows")).filter("roots > 1").select("band", F.col("top.root").alias("most"), (F.col("rows") - F.col("top.own")).alias("apart")), "open")
@@ -97,17 +98,19 @@ class Grouping:
         return self.members.df.filter("root <> most")
 
 
-def roots_of(members: Stage, verify: Callable[[DataFrame], DataFrame]) -> Stage:
-    """``node, root`` of members ``band, n, first, nid, size, w0.., root`` that are connected by alike pairs that share a band.
+def roots_of(members: Stage, two: Stage, verify: Callable[[DataFrame], DataFrame]) -> Stage:
+    """``node, root`` of what is connected by alike pairs that share a band: pairs ``two``, and members ``band, n, first, nid, size, w0.., root``.
 
-    Joins rule out, by sketch, pairs that can't be alike; ``verify`` tells which of the others, ``a, b, ..``, are. First each member is
+    ``verify`` tells which pairs ``a, b, ..`` are alike; joins of members rule out, by sketch, pairs that can't be. First each member is
     compared with its band's first one. Of bands that still hold several roots, all members outside the commonest root are compared
     with some of that root's, in rounds, as long as these connect much; then with all members of the band that have another root.
     So most of a large group is connected by few pairs, and no pair of a band is left out. A band's members that no
-    pair connects are compared by sketch with all of the band, dealt over many tasks. ``members`` is deleted.
+    pair connects are compared by sketch with all of the band, dealt over many tasks. ``members`` and ``two`` are deleted.
     """
     found, nth = Grouping(members), 0
-    found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), verify), 2)
+    pairs = two.df.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), verify, pairs))
+    two.drop()
     while found.merge(_compared(found.apart(), found.centres(nth), verify)) and not found.members.df.isEmpty():
         nth += 1
     found.merge(_compared(found.members.df, found.apart(), verify))

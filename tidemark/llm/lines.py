@@ -17,6 +17,8 @@ BANDS, ROWS = 8, 3
 CHUNK = 16
 #: Bits of a line's name by which lines that nothing needs are ruled out before a shuffle.
 PART_BITS = 20
+#: Bytes of the lines to remove that are broadcast at most.
+SMALL = 16 << 20
 LAST = (1 << 63) - 1
 #: A character that isn't blank.
 INK = r"[^\x20\x09-\x0D]"
@@ -97,42 +99,50 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.filter((up + down) * same >= up * (F.size("x") + F.size("y"))).select(*pairs.columns)
 
 
+def _named(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"l0": F.xxhash64("line"), "l1": F.xxhash64(F.lit(1), "line")})
+
+
 def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
-    """``node, root`` of lines connected by alike pairs that share a band, and ``nid, l0, l1, bands``, which names lines."""
-    named = Stage(signatures(lines).withColumn("nid", F.monotonically_increasing_id()), "bands")
-    held = members_of(named.df.select("nid", "bands"), BANDS)
-    wanted = Stage(held.df.select("nid").distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
-    parts = wanted.df.select(F.shiftrightunsigned("l0", 64 - PART_BITS).alias("part")).distinct()  # 2^PART_BITS rows at most
-    some = lines.withColumn("part", F.shiftrightunsigned("l0", 64 - PART_BITS)).join(F.broadcast(parts), "part", "left_semi").drop("part")
-    texts = Stage(some.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
+    """``l0, l1, k0, k1``: the names of lines and of their roots where these differ; and all lines without blank ones, by name.
+
+    Lines are read twice: once for their signatures, and once to be written without their text, but for those that share a band with
+    another. ``lines``: line and any columns.
+    """
+    named = Stage(signatures(_named(lines.select("line"))).withColumn("nid", F.monotonically_increasing_id()), "bands")
+    held, two = members_of(named.df.select("nid", "bands"), BANDS)
+    paired = two.df.select(F.explode(F.array("a", "b")).alias("nid"))
+    wanted = Stage(held.df.select("nid").unionByName(paired).distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
+    parts = wanted.df.select(F.shiftrightunsigned("l0", 64 - PART_BITS).alias("part"), F.lit(True).alias("asked")).distinct()  # 2^PART_BITS rows at most
+    told = _named(lines).withColumn("part", F.shiftrightunsigned("l0", 64 - PART_BITS)).join(F.broadcast(parts), "part", "left")
+    seen = Stage(told.withColumn("line", F.when(F.col("asked"), F.col("line"))).drop("part", "asked"), "lines")
+    asked = seen.df.select("l0", "l1", "line").filter(F.col("line").isNotNull())
+    texts = Stage(asked.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
     wanted.drop()
-    sketched = Stage(sketches(texts.df), "sketches")
-    members = Stage(held.df.join(sketched.df, "nid").withColumn("root", F.col("nid")), "members")
+    sketched = sketches(texts.df.join(held.df.select("nid").distinct(), "nid", "left_semi"))
+    members = Stage(held.df.join(sketched, "nid").withColumn("root", F.col("nid")), "members")
     held.drop()
-    sketched.drop()
-    roots = roots_of(members, lambda pairs: verified(pairs, texts.df))
+    roots = roots_of(members, two, lambda pairs: verified(pairs, texts.df))
     texts.drop()
-    return roots, named
-
-
-def repeated_lines(docs: DataFrame) -> Stage:
-    """Lines to remove of documents ``r0, r1, rank, text``: ``r0, r1, gone``, an array of line numbers from 0."""
-    each = docs.select("r0", "r1", "rank", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(INK))
-    lines = each.withColumns({"l0": F.xxhash64("line"), "l1": F.xxhash64(F.lit(1), "line")})
-    roots, named = line_roots(lines.select("l0", "l1", "line"))
     name = named.df.select("nid", "l0", "l1")
     other = roots.df.join(name.select(F.col("nid").alias("root"), F.col("l0").alias("k0"), F.col("l1").alias("k1")), "root").withColumnRenamed("node", "nid").join(name, "nid")
     moved = Stage(other.select("l0", "l1", "k0", "k1"), "moved")
     roots.drop()
     named.drop()
-    seen = Stage(lines.select("r0", "r1", "rank", "pos", "l0", "l1"), "lines")
+    return moved, seen
+
+
+def repeated_lines(docs: DataFrame) -> Stage:
+    """Lines to remove of documents ``r0, r1, rank, text``: ``r0, r1, gone``, an array of line numbers from 0."""
+    lines = docs.select("r0", "r1", "rank", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(INK))
+    moved, seen = line_roots(lines)
     counted = Stage(seen.df.join(moved.df, ["l0", "l1"], "left").select("r0", "r1", "rank", "pos", F.coalesce("k0", "l0").alias("k0"), F.coalesce("k1", "l1").alias("k1")), "lines")
     seen.drop()
     moved.drop()
     order = F.struct("rank", "pos", "r0", "r1")
     first = counted.df.groupBy("k0", "k1").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     late = join_by_group(counted.df, first, ["k0", "k1"], "n", counted.count()).filter(order != F.col("first"))
-    gone = Stage(late.groupBy("r0", "r1").agg(F.collect_set("pos").alias("gone")), "gone")
+    gone = Stage(late.groupBy("r0", "r1").agg(F.collect_set("pos").alias("_out")), "gone")
     counted.drop()
     return gone
 
@@ -141,7 +151,11 @@ def _stripped(docs: DataFrame) -> DataFrame:
     """``docs``, sheltered, with ``_lines, _gone`` (counts) and ``_kept`` (the text that stays)."""
     keyed = docs.withColumns({"_r0": F.xxhash64("doc_id", "text"), "_r1": F.xxhash64(F.lit(1), "doc_id", "text")})
     gone = repeated_lines(keyed.select(F.col("_r0").alias("r0"), F.col("_r1").alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), "text"))
-    met = keyed.join(gone.df.select(F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), F.col("gone").alias("_out")), ["_r0", "_r1"], "left")
+    out = gone.df.select(F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), "_out")
+    size = gone.df.agg(F.count("*"), F.sum(F.size("_out"))).first()
+    if 32 * size[0] + 4 * (size[1] or 0) <= SMALL:  # else texts shuffle
+        out = F.broadcast(out)
+    met = keyed.join(out, ["_r0", "_r1"], "left")
     parts = F.split("text", "\n")
     left = let(parts, lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("_out")), lambda i: F.element_at(p, i + 1)))
     return met.select(*docs.columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_lines"), F.coalesce(F.size("_out"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_out").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("_kept"))
