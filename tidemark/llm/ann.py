@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, join_by_group
+from .common import Stage, join_by_group, tidy
 from .hnsw import Graph
 
 #: Distinct vectors of a shard: 1/256 of all, but from so many to so many; queries of a block; width of a search.
@@ -109,6 +109,7 @@ def _search(k: int, width: int, longest: dict[int, float], kind: str):
     return search
 
 
+@tidy
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, width: int = WIDTH, shard_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row whose id is divisible by ``every``, the ``k`` nearest other rows found: ``query_id, rank, vec_id, score``.
 

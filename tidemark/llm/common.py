@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, contextmanager, nullcontext
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,17 @@ class Stage:
         self.path = f"{shared_dir(self.spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
         with setting(self.spark, CLEANUP, "true"), batches_of(self.spark, batch):
             df.write.parquet(self.path)
+        if _made:
+            _made[-1].append(self)
+
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Stage:
+        """A table that has been written to a path of the shared folder by other means."""
+        made = cls.__new__(cls)
+        made.spark, made.path = spark, path
+        if _made:
+            _made[-1].append(made)
+        return made
 
     @property
     def df(self) -> DataFrame:
@@ -81,6 +93,30 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables that the operators under way have written, by operator.
+_made: list[list[Stage]] = []
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, so that nothing reads its other tables any more, and these deleted."""
+
+    @wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        _made.append([])
+        try:
+            kept = Stage(operator(*args, **named), operator.__name__.strip("_"))
+        finally:
+            made = _made.pop()
+        for stage in made:
+            if stage is not kept:
+                stage.drop()
+        if _made:
+            _made[-1].append(kept)
+        return kept.df
+
+    return run
+
+
 def sheltered(docs: DataFrame, *own: str) -> DataFrame:
     """``docs`` with all columns but ``own`` renamed by place, so that no helper column clashes; ``toDF`` gives them back."""
     return docs.toDF(*[c if c in own else f"_in{i}" for i, c in enumerate(docs.columns)])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Stage, join_by_group, sheltered
+from .common import BLANK, Stage, join_by_group, sheltered, tidy
 
 #: Bits of a filter for a row, and the most bits of one filter: 32 MB. More digests than suit one are split by their first bits.
 BITS_PER_ROW = 16
@@ -133,6 +133,7 @@ def _grouped(digests: DataFrame, rows: int) -> DataFrame:
     return found.unionByName(alone)
 
 
+@tidy
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MAX_BITS) -> DataFrame:
     """Group documents whose texts are equal after folding runs of blanks into one space.
 
@@ -154,13 +155,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if parts == 1:
         return _named(_grouped(digests.df, rows))
     path = f"{digests.path}-parts"
+    done, _ = Stage.at(spark, f"{path}-done"), Stage.at(spark, path)
     part = F.pmod(F.conv(F.hex(F.substring("sha", 25, 4)), 16, 10).cast("long"), F.lit(parts)).cast("int")
     digests.df.withColumn("part", part).write.partitionBy("part").parquet(path)
     digests.drop()
     for i in range(parts):
         own = spark.read.parquet(path).filter(F.col("part") == i).drop("part")
-        _grouped(own, max(1, own.count())).write.mode("append").parquet(f"{path}-done")
-    return _named(spark.read.parquet(f"{path}-done"))
+        _grouped(own, max(1, own.count())).write.mode("append").parquet(done.path)
+    return _named(done.df)
 
 
 def _named(found: DataFrame) -> DataFrame:

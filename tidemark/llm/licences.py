@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, let
+from .common import Stage, let, tidy
 from .lines import _mask
 
 SHINGLE = 5
@@ -59,6 +59,7 @@ def template_frame(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return rows.select("name", block.alias("block"), "hashes")
 
 
+@tidy
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Templates that documents hold: ``doc_id, template, containment, from_word``, one row per document and template.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, Stage, null_key, sheltered
+from .common import BLANK, WORD, Stage, null_key, sheltered, tidy
 
 #: Rows that a bucket of a source's random order should have; there are as many hex digits of a bucket as that takes.
 BUCKET_ROWS = 4096
@@ -40,7 +40,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], most: int) -> Da
     return t.withColumn("target", target).select("skey", "source_size", "target")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+@tidy
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words the mix takes of each document.
 
     One row per input row: ``doc_id, size, source_size, target, taken``. Every source's documents
@@ -52,8 +53,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
     Null texts have no words and take none; null ids and sources are a value of their own, and
     null comes last among sources. Repeated ids stand together, larger size last. An
-    empty table gives no rows. Other columns aren't read, but with ``carry`` the rows come along, as ``_row``.
+    empty table gives no rows. Other columns aren't read.
     """
+    return _plan(docs, weights, most, id_col, text_col, source_col, False)
+
+
+def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, id_col: str, text_col: str, source_col: str, carry: bool) -> DataFrame:
     row = [F.struct(*docs.columns).alias("_row")] if carry else []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -81,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
     rows each as often as the plan says, since a row is carried through the plan, not joined to it.
     """
     rows = sheltered(docs, "doc_id", "text", "source", "n_chars")
-    plan = mix_plan(rows, weights, most, carry=True).filter("taken > 0").select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = _plan(rows, weights, most, "doc_id", "text", "source", True).filter("taken > 0").select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     full, part = F.expr("cast(_taken div _size as int)"), F.expr("_taken % _size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     out = plan.withColumn("_words", F.explode(copies))

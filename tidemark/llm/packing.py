@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, Stage
+from .common import TEXT_BATCH, Stage, tidy
 
 CAPACITY = 2048
 END = 0
@@ -163,6 +163,7 @@ def _place(plan):
     return place
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack whole documents into as few sequences of ``capacity`` tokens as best-fit decreasing gives.
 

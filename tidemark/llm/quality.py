@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BATCH, TEXT_BATCH, Stage, batches_of, summed
+from .common import ROW_BATCH, TEXT_BATCH, Stage, batches_of, summed, tidy
 from .models import derivatives, linear, logistic_regression, logit, newton, platt, sigmoid
 from .toxicity import held_out
 
@@ -234,6 +234,7 @@ def fit(rows: DataFrame, labels: DataFrame, fit_rows: int) -> CoTraining | None:
     return model
 
 
+@tidy
 def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Score every document: ``doc_id, held_out, content_score, metadata_score, score, keep``.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, Stage, join_by_group
+from .common import TEXT_BATCH, Stage, join_by_group, tidy
 from .graph import components
 from .near import drop_near_copies  # noqa: F401
 
@@ -282,6 +282,7 @@ def fingerprint_links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     return links.unionByName(words.repartition("near").sortWithinPartitions("near", "far").mapInArrow(_hubs, "a long, b long"))
 
 
+@tidy
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paired: int = PAIRED) -> DataFrame:
     """Fingerprint every document and join those within three differing bits, over any number of steps.
 

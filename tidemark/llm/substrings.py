@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, contains, mixed
-from .common import TEXT_BATCH, Stage, join_by_group, sheltered
+from .common import TEXT_BATCH, Stage, join_by_group, sheltered, tidy
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -150,12 +150,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["lows", "highs"]).set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
 
-def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """``docs`` (any columns, among them doc_id and text) with arrays ``lows`` and ``highs`` of the words to remove."""
-    spark = docs.sparkSession
-    rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    keyed = docs.withColumns({"_row": F.xxhash64("text"), "_rank": rank})
-    source = keyed.select(F.col("_row").alias("row"), F.col("_rank").alias("rank"), "text")
+@tidy
+def _ranges_of(source: DataFrame, window: int, seed: int) -> DataFrame:
+    """``rank, row, lows, highs``: the words to remove of documents ``row, rank, text`` that lose any."""
+    spark = source.sparkSession
     units = Stage(source.mapInArrow(_units(window, seed), "anchor long, unit long, rank long, row long, low int, high int"), "units", TEXT_BATCH)
     groups = Stage(units.df.groupBy("anchor", "unit").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")), "groups")
     total = units.count()
@@ -170,7 +168,13 @@ def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
     least = windows.df.groupBy("anchor", "window").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
     part = join_by_group(windows.df, least, ["anchor", "window"], "n", windows.count()).filter("rank > first").select("rank", "row", "low", (F.col("low") + window).alias("high"))
 
-    ranges = whole.unionByName(part).groupBy("rank", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    return whole.unionByName(part).groupBy("rank", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+
+
+def _marked(docs: DataFrame, window: int, seed: int) -> DataFrame:
+    """``docs`` (any columns, among them doc_id and text) with arrays ``lows`` and ``highs`` of the words to remove."""
+    keyed = docs.withColumns({"_row": F.xxhash64("text"), "_rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))})
+    ranges = _ranges_of(keyed.select(F.col("_row").alias("row"), F.col("_rank").alias("rank"), "text"), window, seed)
     return keyed.join(ranges.withColumnsRenamed({"row": "_row", "rank": "_rank"}), ["_rank", "_row"], "left").drop("_row", "_rank")
 
 

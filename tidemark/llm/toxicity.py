@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BATCH, TEXT_BATCH, Stage, batches_of, sheltered, summed
+from .common import ROW_BATCH, TEXT_BATCH, Stage, batches_of, sheltered, summed, tidy
 from .models import LabelModel, derivatives, linear, newton, sigmoid
 
 #: Labelled rows that voters are mined from at most: those with the least hashes of their ids.
@@ -201,6 +201,7 @@ def fit(rows: DataFrame, known: DataFrame, features: Features) -> np.ndarray:
     return beta
 
 
+@tidy
 def _scored(docs: DataFrame, labels: DataFrame, keys: list[str], fit_rows: int, most_stems: int) -> DataFrame:
     """``keys, score`` of documents ``doc_id, text`` and keys, each text read whole."""
     spark = docs.sparkSession
@@ -214,7 +215,7 @@ def _scored(docs: DataFrame, labels: DataFrame, keys: list[str], fit_rows: int,
         rows = Stage(docs.select(*own, "text").mapInArrow(_rows(shared), f"{types}, row binary"), "features").df
         model = spark.sparkContext.broadcast(fit(rows.select("doc_id", "row"), known, features))
         schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys), "score double"])
-        return Stage(rows.select(*keys, "row").mapInArrow(_scores(model), schema), "scores").df
+    return rows.select(*keys, "row").mapInArrow(_scores(model), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", most_stems: int = MOST_STEMS) -> DataFrame:
