@@ -144,3 +144,55 @@ def test_upkeep_queries_equal_their_sql(spark):
         at = [want.columns.index(c) for c in cols]
         plain = lambda rows: sorted(str([float(v) if isinstance(v, int) else v for v in r]) for r in rows)
         assert plain([r[c] for c in cols] for r in got.collect()) == plain([r[i] for i in at] for r in want.fetchall()), name
+
+
+def serve(lines):
+    """A socket that sends some lines to whoever connects."""
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def run():
+        while True:
+            try:
+                conn, _ = server.accept()
+            except OSError:
+                return
+            conn.sendall("".join(x + "\n" for x in lines).encode())
+
+    threading.Thread(target=run, daemon=True).start()
+    return server, server.getsockname()[1]
+
+
+@pytest.mark.parametrize("kind", ["lines", "batches", "queries"])
+def test_listeners(spark, kind):
+    buffer = spark.createDataFrame([("a.b", 0, 1.0), ("a.b", 60, 2.0)], "metric string, slot_ts bigint, value double")
+    server, port = serve({"lines": ["a.b 1.5 7", "junk"], "batches": ['{"points": [{"metric": "a.b", "ts": "7.9", "value": "1.5"}, {"metric": "x", "ts": "y", "value": "1"}]}'], "queries": ["a.b"]}[kind])
+    stream = {"lines": I.socket_lines, "batches": I.socket_batches}[kind](spark, "127.0.0.1", port) if kind != "queries" else I.socket_queries(spark, "127.0.0.1", port, buffer, 60, 65)
+    q = stream.writeStream.format("memory").queryName(f"heard_{kind}").outputMode("append").start()
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            got = [(r.metric, r.ts, r.value) for r in spark.table(f"heard_{kind}").collect()]
+            if got:
+                break
+    finally:
+        q.stop()
+        server.close()
+    assert got == [("a.b", 0, 1.0)] if kind == "queries" else got == [("a.b", 7, 1.5)]
+
+
+def test_rate_points_and_generated_load(spark):
+    from tidemark.sources import text
+
+    q = text.rate_points(spark, ["a", "b"], 50).writeStream.format("memory").queryName("rates").start()
+    try:
+        for _ in range(40):
+            q.processAllAvailable()
+            if spark.table("rates").count() > 5:
+                break
+    finally:
+        q.stop()
+    assert {r.metric for r in spark.table("rates").collect()} == {"a", "b"}
+    assert text.generate(spark, ["a", "b"], 100, 10, 3).filter("metric = 'b'").select("ts", "value").collect() == [(100, 10.0), (110, 11.0), (120, 12.0)]

@@ -184,3 +184,27 @@ def cache_geometry(retention: int, resolution: int, ratio: float = 1.2) -> tuple
     """Points that a write buffer holds, and its slots with slack."""
     points = retention // resolution + 1
     return points, int(points * ratio)
+
+
+def cache_slots(retention: Column, resolution: Column, ratio: float = 1.2) -> Column:
+    """The same for columns: ``points, slots``."""
+    points = F.floor(retention / resolution).cast("bigint") + 1
+    return F.struct(points.alias("points"), F.floor(points * F.lit(ratio)).cast("bigint").alias("slots"))
+
+
+def flatten_all(nested: Column, depth: int) -> Column:
+    """An array nested ``depth`` times below its outermost level, as one array."""
+    for _ in range(depth):
+        nested = F.flatten(nested)
+    return nested
+
+
+def taken_bits(positions: Column) -> Column:
+    """A bit map of taken positions, up to 63: the bitwise or of a group's."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), positions.cast("int")))
+
+
+def first_free(bits: Column) -> Column:
+    """The lowest position whose bit isn't set."""
+    inverse = F.bitwise_not(bits)
+    return F.bit_count(inverse.bitwiseAND(-inverse) - 1).cast("int")

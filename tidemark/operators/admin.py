@@ -133,3 +133,24 @@ def self_metrics(events: DataFrame, prefix: str, host: str, every: int = 60) ->
     by = events.groupBy("instance", slot_floor(F.col("ts"), every).alias("ts"), "name")
     value = F.when(F.first("kind") == "incr", F.sum("value")).when(F.first("kind") == "max", F.max("value")).otherwise(F.avg("value"))
     return by.agg(value.alias("value")).select(self_metric(prefix, F.lit(host), F.col("instance"), F.col("name")).alias("metric"), "ts", "value")
+
+
+#: The engine's own figures in an interval: name, and the statistic and way it comes from.
+FIGURES = {"updateOperations": ("updateTimes", "count"), "avgUpdateTime": ("updateTimes", "avg"), "committedPoints": ("committedPoints", "sum"), "creates": ("creates", "sum"), "droppedCreates": ("droppedCreates", "sum"), "errors": ("errors", "sum"), "cacheQueries": ("cacheQueries", "sum"), "cacheOverflow": ("cacheOverflow", "sum"), "metricReceived": ("metricReceived", "sum"), "cpuUsage": ("cpuUsage", "max"), "memUsage": ("memUsage", "max")}
+#: Figures that are left out of an interval without their statistic; all others are 0 then.
+OPTIONAL = ("avgUpdateTime", "pointsPerUpdate", "cpuUsage", "memUsage")
+
+
+def operator_metrics(stats: DataFrame, prefix: str, host: str, every: int = 60) -> DataFrame:
+    """All of the engine's own points from raw statistics ``instance, ts, name, value``: ``metric, ts, value``, to be ingested like others.
+
+    One point per figure, instance and interval with any statistic. Committed points without an update give no mean.
+    """
+    ways = {"count": F.count, "avg": F.avg, "sum": F.sum, "max": F.max}
+    of = lambda stat: F.when(F.col("name") == stat, F.col("value"))
+    by = stats.groupBy("instance", slot_floor(F.col("ts"), every).alias("ts")).agg(*[ways[way](of(stat)).cast("double").alias(figure) for figure, (stat, way) in FIGURES.items()])
+    points = F.when((F.col("committedPoints") > 0) & (F.col("updateOperations") > 0), F.col("committedPoints") / F.col("updateOperations"))
+    full = by.withColumn("pointsPerUpdate", points).fillna(0.0, [c for c in FIGURES if c not in OPTIONAL])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in [*FIGURES, "pointsPerUpdate"]]))
+    out = full.select("instance", "ts", each.alias("f")).filter("f.value is not null")
+    return out.select(self_metric(prefix, F.lit(host), F.col("instance"), F.col("f.figure")).alias("metric"), "ts", F.col("f.value").alias("value"))

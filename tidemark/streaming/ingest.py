@@ -11,12 +11,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import slot_floor
 from ..sources.store import Store
-from ..sources.text import parse_lines
+from ..sources.text import explode_batches, parse_lines
 
 
 def socket_lines(spark: SparkSession, host: str, port: int | None) -> DataFrame | None:
     """Points of a line-protocol listener; none where the port is unset."""
-    return parse_lines(spark.readStream.format("socket").option("host", host).option("port", port).load()) if port else None
+    return parse_lines(_lines(spark, host, port)) if port else None
+
+
+def _lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+def socket_batches(spark: SparkSession, host: str, port: int | None) -> DataFrame | None:
+    """Points of a batch listener, whose lines are JSON ``{"points": [{"metric", "ts", "value"}]}``; none where the port is unset."""
+    if not port:
+        return None
+    parsed = _lines(spark, host, port).select(F.from_json("value", "points array<struct<metric:string,ts:string,value:string>>").alias("j"))
+    return explode_batches(parsed.select(F.col("j.points").alias("points")))
+
+
+def answers(asked: DataFrame, buffer: DataFrame, step: int, now: int) -> DataFrame:
+    """Buffered points for a stream or table of metric names ``value``: ``metric, ts, value`` before the slot that ``now`` is in."""
+    hot = buffer.filter((F.col("slot_ts") < slot_floor(F.lit(now), step)) & F.col("value").isNotNull()).select("metric", F.col("slot_ts").alias("ts"), "value")
+    return asked.select(F.trim("value").alias("metric")).join(hot, "metric")
+
+
+def socket_queries(spark: SparkSession, host: str, port: int, buffer: DataFrame, step: int, now: int) -> DataFrame:
+    """Answers to a query listener's lines, each of which names a metric."""
+    return answers(_lines(spark, host, port), buffer, step, now)
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:

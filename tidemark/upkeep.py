@@ -233,3 +233,106 @@ def recent_slots(spark, sf_dir):
 
     days = T.downsample(events(spark, sf_dir).withColumnRenamed("ts", "slot_ts"), 86400, "sum").withColumns({"step": F.lit(86400), "count": F.lit(10)})
     return recent(days, NOW).select("metric", F.col("slot_ts").alias("ts"), F.round("value", 6).alias("value"))
+
+
+STATS = f"{EV}, st AS (SELECT seq % 2 AS instance, ts // 3600 * 3600 AS ts, CASE metric WHEN 'click' THEN 'updateTimes' WHEN 'view' THEN 'committedPoints' WHEN 'purchase' THEN 'cpuUsage' ELSE 'creates' END AS name, value FROM ev), fi AS (SELECT instance, ts, CAST(count(value) FILTER (WHERE name = 'updateTimes') AS DOUBLE) AS n, avg(value) FILTER (WHERE name = 'updateTimes') AS a, sum(value) FILTER (WHERE name = 'committedPoints') AS c, max(value) FILTER (WHERE name = 'cpuUsage') AS u, sum(value) FILTER (WHERE name = 'creates') AS w FROM st GROUP BY ALL)"
+
+
+@query(f"WITH {STATS}, l AS (SELECT instance, ts, unnest(['updateOperations', 'avgUpdateTime', 'committedPoints', 'creates', 'cpuUsage', 'pointsPerUpdate', 'droppedCreates', 'errors', 'cacheQueries', 'cacheOverflow', 'metricReceived']) AS f, unnest([n, a, coalesce(c, 0), coalesce(w, 0), u, CASE WHEN c > 0 AND n > 0 THEN c / n END, 0, 0, 0, 0, 0]) AS v FROM fi) SELECT 'tm.h_x.' || instance || '.' || f AS metric, ts, round(v, 6) AS value FROM l WHERE v IS NOT NULL")
+def operator_metrics(spark, sf_dir):
+    from .operators import admin
+
+    name = F.when(F.col("metric") == "click", "updateTimes").when(F.col("metric") == "view", "committedPoints").when(F.col("metric") == "purchase", "cpuUsage").otherwise("creates")
+    stats = events(spark, sf_dir).select((F.col("seq") % 2).alias("instance"), "ts", name.alias("name"), "value")
+    return admin.operator_metrics(stats, "tm", "h.x", 3600).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {INDEX}, b AS (SELECT instance, schema, file_id, bit_or(1::BIGINT << pos) AS bits FROM ix WHERE pos <> 2 GROUP BY ALL) SELECT instance, schema, file_id, bits, CAST((SELECT min(p) FROM range(64) t(p) WHERE (bits >> p) & 1 = 0) AS INTEGER) AS free FROM b")
+def position_bits(spark, sf_dir):
+    taken = index(spark, sf_dir).filter("pos <> 2").groupBy("instance", "schema", "file_id").agg(S.taken_bits(F.col("pos")).alias("bits"))
+    return taken.withColumn("free", S.first_free(F.col("bits")))
+
+
+@query("SELECT name, CAST(cache_retention // step + 1 AS BIGINT) AS points, CAST(floor((cache_retention // step + 1) * 1.2) AS BIGINT) AS slots FROM (VALUES ('carts', 600, 60), ('first', 620, 10), ('rest', 3600, 60)) t(name, cache_retention, step)")
+def buffer_geometry(spark, sf_dir):
+    rules = rules_frame(spark, RULES).select("name", S.cache_slots(F.col("cache_retention"), F.col("archives")[0]["step"]).alias("g"))
+    return rules.select("name", F.col("g.points").alias("points"), F.col("g.slots").alias("slots"))
+
+
+@query("SELECT o_orderpriority AS priority, array_to_string(list(CAST(k AS VARCHAR) ORDER BY k), ',') AS keys FROM (SELECT o_orderpriority, o_orderkey AS k FROM orders WHERE o_orderkey % 100 = 0) GROUP BY 1")
+def flatten_lists(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 100 = 0")
+    nested = o.groupBy(F.col("o_orderpriority").alias("priority"), (F.col("o_orderkey") % 7).alias("p")).agg(F.array(F.collect_list("o_orderkey")).alias("own")).groupBy("priority").agg(F.collect_list("own").alias("nested"))
+    return nested.select("priority", F.array_join(F.transform(F.array_sort(S.flatten_all(F.col("nested"), 2)), lambda k: k.cast("string")), ",").alias("keys"))
+
+
+@query("SELECT * FROM (VALUES ('whole week', CAST(604800 AS BIGINT)), ('three levels', 5184000)) t(name, seconds)")
+def max_retention(spark, sf_dir):
+    return spark.createDataFrame([("whole week", A.max_retention([(60, 10080)])), ("three levels", A.max_retention(LIST))], "name string, seconds bigint")
+
+
+@query("SELECT * FROM (VALUES (0, 'NUM_ALL_INSTANCE', '2', 'int'), (0, 'PORT', '2004', 'int'), (0, 'RATE', '0.5', 'float'), (1, 'NUM_ALL_INSTANCE', '2', 'int'), (1, 'PORT', '2003', 'int'), (1, 'RATE', '0.5', 'float')) t(instance, name, value, kind)")
+def daemon_settings(spark, sf_dir):
+    from .plans.rules import instances, parse_settings
+
+    config = "[cache]\nNUM_ALL_INSTANCE = 2\nPORT = 2003\nRATE = 0.5\n[cache:0]\nPORT = 2004\n[cache:1]\n"
+    rows = [(i, k, str(v), type(v).__name__) for i in instances(config) for k, v in parse_settings(config, instance=i).items()]
+    return spark.createDataFrame(rows, "instance int, name string, value string, kind string")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 100, CAST(0 AS BIGINT), CAST(60 AS BIGINT)), (2, 30, 50, NULL, NULL), (3, 0, 50, -60, 0), (4, 130, 250, 120, 240)) t(id, start, until, low, high)")
+def propagation_spans(spark, sf_dir):
+    from .operators.updates import propagation_range
+
+    asks = [(1, 0, 100), (2, 30, 50), (3, 0, 50), (4, 130, 250)]
+    return spark.createDataFrame([(i, a, b, *(propagation_range(a, b, 10, 60, 1) or (None, None))) for i, a, b in asks], "id int, start int, until int, low bigint, high bigint")
+
+
+PACKED = [("a.b", 0, 10, 1.0), ("a.b", 0, 11, None), ("c", 0, 10, 2.0), ("c", 0, 11, 3.0)]
+
+
+def packed_folder(spark: SparkSession) -> str:
+    """A folder with one packed file of two metrics, written through Spark's file systems."""
+    from .sources import packed
+
+    path = scratch(spark)
+    data = packed.pack_header(["a.b", "c"], [(1, 2)], 1.0, "max", 5) + packed.pack_points([(10, [1.0, 2.0]), (11, [None, 3.0])])
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(f"{path}/0.hs")
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
+@query("SELECT * FROM (VALUES ('a.b', CAST(10 AS BIGINT), CAST(1 AS DOUBLE)), ('a.b', 11, NULL), ('c', 10, 2), ('c', 11, 3)) t(metric, slot_ts, value)")
+def packed_points(spark, sf_dir):
+    from .sources import packed
+
+    return packed.points(spark, packed_folder(spark)).select("metric", "slot_ts", "value")
+
+
+@query("SELECT * FROM (VALUES ('max', CAST(2 AS BIGINT), CAST(1 AS DOUBLE), 'a.b,c', 5, 20, CAST(1 AS BIGINT), CAST(40 AS BIGINT))) t(agg, max_retention, xff, tags, reserved_size, point_size, step, size)")
+def packed_header(spark, sf_dir):
+    from .sources import packed
+
+    h = packed.headers(spark, packed_folder(spark))
+    return h.select("agg", "max_retention", "xff", F.array_join("tags", ",").alias("tags"), "reserved_size", "point_size", F.col("archives")[0]["step"].alias("step"), F.col("archives")[0]["size"].alias("size"))
+
+
+@query("SELECT * FROM (VALUES (0, CAST(7200 AS BIGINT), CAST(5 AS DOUBLE)), (0, 7260, 9), (0, 10860, 7), (1, 7200, 9)) t(archive, slot_ts, value)")
+def file_update(spark, sf_dir):
+    from .operators.updates import File
+
+    f = File(spark, ["m"], [(60, 600), (3600, 240)], 1, "max")
+    for rows, now in (([(7201, [1.0]), (7205, [5.0]), (7265, [9.0])], 7300), ([(10865, [7.0])], 10900)):
+        f.update(spark.createDataFrame(rows, "ts bigint, vals array<double>"), now, 7300)
+    return f.state.filter("value is not null").select("archive", "slot_ts", "value")
+
+
+@query(f"WITH {EV}, b AS (SELECT metric, ts // 600 * 600 AS slot_ts, arg_max(value, seq) AS value FROM ev GROUP BY 1, 2) SELECT metric, slot_ts AS ts, value FROM b WHERE metric IN ('click', 'view') AND slot_ts < {NOW - 86400} // 600 * 600")
+def query_answers(spark, sf_dir):
+    from .streaming.ingest import answers
+
+    asked = spark.createDataFrame([(" click ",), ("view",), ("nothing",)], "value string")
+    return answers(asked, T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), 600, NOW - 86400)
