@@ -11,13 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_filter, contains, mixed
 from .common import TEXT_BATCH, Stage, join_by_group, sheltered, tidy
 
 WINDOW = 50
 SEED_WORDS = 8
-#: The most bits of the filter of units that need a closer look: 32 MB.
-FILTER_BITS = 1 << 28
 LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E6C63D0876A9A6B)
@@ -25,6 +22,16 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    with np.errstate(over="ignore"):
+        # The constants of SplitMix64.
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _power(n: int) -> list[np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
@@ -93,34 +100,21 @@ def _units(window: int, seed: int):
     return scan
 
 
-def _windows(window: int, seed: int, filter_):
+def _windows(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows ``rank, row, text, asked``: every window of the stretches asked for, by the anchor it holds."""
         for batch in batches:
             parts = []
-            for row, rank, text in _rows(batch):
+            for rank, row, text, asked in _rows(batch):
                 words = Words(text)
-                if (found := words.units(window, seed)) is None:
-                    continue
-                anchor, unit, first, last = found
-                of = contains(filter_.value, _look(unit, rank))
-                for a, low, high in zip(anchor[of], first[of], last[of], strict=True):
-                    start = np.arange(low, high + 1)
-                    parts.append((np.full(len(start), a), words.runs(start, start + window), np.full(len(start), rank), np.full(len(start), row), start.astype(np.int32)))
+                for a in asked:
+                    start = np.arange(a["low"], a["high"] - window + 1)
+                    parts.append((np.full(len(start), a["anchor"]), words.runs(start, start + window), np.full(len(start), rank), np.full(len(start), row), start.astype(np.int32)))
             yield from _arrays(parts, ["anchor", "window", "rank", "row", "low"])
 
     return scan
 
 
-def _look(unit: np.ndarray, rank) -> np.ndarray:
-    return unit ^ mixed(np.asarray(rank, dtype=np.int64).astype(np.uint64))
-
-
-def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        unit, rank = (np.asarray(c) for c in batch.columns)
-        yield pa.RecordBatch.from_arrays([pa.array(_look(unit.view(np.uint64), rank).view(np.int64))], ["look"])
-
-
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str | None], list[list[bytes]], list[np.ndarray]]]:
     """Per batch of (row's own columns.., text, lows, highs): words and which of them go."""
     for batch in batches:
@@ -153,18 +147,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @tidy
 def _ranges_of(source: DataFrame, window: int, seed: int) -> DataFrame:
     """``rank, row, lows, highs``: the words to remove of documents ``row, rank, text`` that lose any."""
-    spark = source.sparkSession
     units = Stage(source.mapInArrow(_units(window, seed), "anchor long, unit long, rank long, row long, low int, high int"), "units", TEXT_BATCH)
     groups = Stage(units.df.groupBy("anchor", "unit").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")), "groups")
     total = units.count()
 
-    copied = groups.df.filter("first < last").select("anchor", "unit", "first", "n")
-    whole = join_by_group(units.df, copied, ["anchor", "unit"], "n", total).filter("rank > first").select("rank", "row", "low", "high")
-
     several = groups.df.groupBy("anchor").agg(F.count("*").alias("units"), F.min("first").alias("low"), F.max("first").alias("high")).filter("units > 1 and low < high").select("anchor", "units")
-    closer = Stage(join_by_group(groups.df.select("anchor", "unit", "first"), several, "anchor", "units", total).select("unit", "first"), "closer")
-    filter_ = spark.sparkContext.broadcast(bloom_filter(closer.df.mapInArrow(_looks, "look long"), closer.count(), FILTER_BITS))
-    windows = Stage(source.mapInArrow(_windows(window, seed, filter_), "anchor long, window long, rank long, row long, low int"), "windows", TEXT_BATCH)
+    closer = join_by_group(groups.df, several, "anchor", "units", total).select("anchor", "unit", "first", "n", F.lit(True).alias("several"))
+    copied = groups.df.filter("first < last").select("anchor", "unit", "first", "n", F.lit(False).alias("several"))
+    asked = closer.unionByName(copied).groupBy("anchor", "unit").agg(F.min("first").alias("first"), F.min("n").alias("n"), F.max("several").alias("several"))
+    met = Stage(join_by_group(units.df, asked, ["anchor", "unit"], "n", total).filter("rank > first or several").select("rank", "row", "anchor", "low", "high", (F.col("rank") > F.col("first")).alias("copy")), "met")
+    units.drop()
+    groups.drop()
+    whole = met.df.filter("copy").select("rank", "row", "low", "high")
+    stretches = met.df.filter("not copy").groupBy("rank", "row").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("asked"))  # one text's at most
+    windows = Stage(source.join(stretches, ["rank", "row"]).select("rank", "row", "text", "asked").mapInArrow(_windows(window), "anchor long, window long, rank long, row long, low int"), "windows", TEXT_BATCH)
     least = windows.df.groupBy("anchor", "window").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.count("*").alias("n")).filter("first < last").drop("last")
     part = join_by_group(windows.df, least, ["anchor", "window"], "n", windows.count()).filter("rank > first").select("rank", "row", "low", (F.col("low") + window).alias("high"))
 
@@ -183,9 +179,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WO
 
     One row per input row: ``doc_id, n_words, n_removed, kept_sha256``. Every window of words has a winnowed
     seed in it; windows with the same seed form a unit. Units that are equal with all their words
-    are copies as a whole. Where a seed stands in different units, one occurrence of each is
-    extended both ways, window by window, and equal windows meet by hash; only rows with such seeds shuffle
-    then. Copies don't pair up: each unit and window has its least id by a partial aggregate.
+    are copies as a whole. Where a seed stands in different units, texts are joined to these seeds, the first occurrence of each
+    unit is extended both ways, window by window, and equal windows meet by their hash under the seed's. Copies don't pair up: each
+    unit and window has its least id by a partial aggregate. Windows are compared with those of one seed alone, so that
+    only equal hashes within a seed's few windows could be taken for equal words.
     Everything is judged on the input; removed ranges are the union, so they are maximal.
 
     Null texts have no words; texts of fewer words keep all. A null id comes after all others. Rows that
