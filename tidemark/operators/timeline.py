@@ -69,7 +69,9 @@ def complete(fine: DataFrame, unit: int, gate: tuple[str, ...] = ()) -> DataFram
     The newest slot is taken over all metrics of a file (``gate``), or over all rows: a busy metric
     completes a quiet neighbour's units.
     """
-    newest = fine.groupBy(*gate).agg(slot_floor(F.max("slot_ts"), unit).alias("upto"))
+    for c in (*gate, "slot_ts"):  # what the join would ask of one side alone
+        fine = fine.filter(F.col(c).isNotNull())
+    newest = fine.groupBy(*gate).agg(slot_floor(F.max("slot_ts"), unit).alias("upto"), F.count("value").alias("_n")).filter("_n >= 0").drop("_n")  # reads what ``fine`` does, so that Spark makes it once
     joined = fine.join(newest, list(gate)) if gate else fine.join(F.broadcast(newest))  # without a gate: one row
     return joined.filter("slot_ts < upto").drop("upto")
 
