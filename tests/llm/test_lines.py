@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.lines import ALIKE, SHINGLE, dedup_lines, drop_repeated_lines, shingles
+from tidemark.llm.lines import ALIKE, SHINGLE, dedup_lines, drop_repeated_lines, shingles, signatures
 from tests.llm.helpers import docs, roots
 
 
@@ -61,3 +61,23 @@ def test_shingles_and_long_lines(spark):
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (long + "\nend of one document", len(long) + 20), 2: ("start", 5), 3: ("all mine", 8)}
     assert out.columns == docs(spark, []).columns
     assert dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_recall_of_bands_by_length(spark):
+    """Of pairs with a similarity from 0.8 to 0.85, the share that meets in a band: no less than three independent rows in eight bands give, less chance."""
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for length, least in ((30, 0.97), (80, 0.985), (300, 0.985)):
+        pairs = []
+        while len(pairs) < 400:
+            a = "".join(rng.choice(letters) for _ in range(length))
+            cut = rng.randint(1, max(1, length // 5))
+            b = list(a[:-cut] if rng.random() < 0.5 else a)
+            for _ in range(rng.randint(0, 1 + length // 100)):
+                b[rng.randrange(len(b))] = rng.choice(letters)
+            x, y = grams(a), grams("".join(b))
+            if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+                pairs.append((a, "".join(b)))
+        lines = spark.createDataFrame([(2 * i + j, j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "l0 long, l1 long, line string")
+        bands = {r.l0: set(r.bands) for r in signatures(lines).collect()}
+        assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(400)) / 400 >= least, length
