@@ -13,20 +13,15 @@ from .operators import series, timeline as T
 from .plans import archives as A
 from .plans.rules import Rule, legacy_schema, rules_frame
 from .sources import text
+from .sources.shared import shared_dir
 from .sources.store import Store
 
 RULE = Rule("events", ".*", A.archives(LIST), 1)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares; a local one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/tidemark/store-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares."""
+    return f"{shared_dir(spark)}/tidemark/store-{uuid.uuid4().hex}"
 
 
 def stored(spark: SparkSession, sf_dir: str, now: int | None = None, rule: Rule = RULE) -> tuple[Store, DataFrame]:
