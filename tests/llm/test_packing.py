@@ -71,3 +71,11 @@ def test_pack(spark):
         assert end <= 2048
     assert len(bins) == len(plain_best_fit([r.length for r in got], 2048))
     assert pack(docs(spark, []), VOCAB).count() == 0
+
+
+def test_ids_equal_the_library_on_random_strings():
+    rng, encode, library = random.Random(8), encoder(VOCAB), reference()
+    pools = ["abc '’st \n\t", "0123 ½²٣ _-.,!", "äöüßéèñ ÀÉ", "漢字かなカナ한국어", "\u2028\u3000\xa0\x85\x1c\x1d ", "🙂👩‍💻🇩🇪\u0301\u200d", "<|endoftext|>", "".join(map(chr, range(0x250, 0x3400, 37)))]
+    for _ in range(3000):
+        text = "".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 30)))
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

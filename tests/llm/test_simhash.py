@@ -50,3 +50,28 @@ def test_documents(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
     kept = simhash.drop_near_copies(docs(spark, [(1, "a b c d"), (2, "a b c d"), (3, "e f g h")]))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns[-1] == "_id"
+
+
+def plain_fingerprint(text):
+    """Bit by bit, with words by regular expression."""
+    import re
+
+    import xxhash
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_equal_the_definition():
+    rng = np.random.default_rng(4)
+    parts = ["Aa", "ÀÉ", "ß", "b\x1c", "\x85", "C\u3000d", "\xa0", "e-f", "ZZ", "漢字", " ", "\t\n", "\x0b", "x"]
+    for n in (0, 1, 2, 3, 5, 40, 300):
+        for _ in range(20):
+            text = " ".join(rng.choice(parts, n))
+            assert simhash.fingerprint(text) == plain_fingerprint(text), repr(text)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
