@@ -15,8 +15,8 @@ SHINGLE = 8
 BANDS, ROWS = 8, 3
 #: Shingles that one row takes at once.
 CHUNK = 16
-#: Bits of a line's name by which lines that nothing needs are ruled out before a shuffle.
-PART_BITS = 20
+#: Lines that nothing needs are ruled out before a shuffle by a bit map of 2^WORD_BITS words of 64 bits, 16 MB at most.
+WORD_BITS = 20
 #: Bytes of the lines to remove that are broadcast at most.
 SMALL = 16 << 20
 LAST = (1 << 63) - 1
@@ -113,9 +113,10 @@ def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
     held, two = members_of(named.df.select("nid", "bands"), BANDS)
     paired = two.df.select(F.explode(F.array("a", "b")).alias("nid"))
     wanted = Stage(held.df.select("nid").unionByName(paired).distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
-    parts = wanted.df.select(F.shiftrightunsigned("l0", 64 - PART_BITS).alias("part"), F.lit(True).alias("asked")).distinct()  # 2^PART_BITS rows at most
-    told = _named(lines).withColumn("part", F.shiftrightunsigned("l0", 64 - PART_BITS)).join(F.broadcast(parts), "part", "left")
-    seen = Stage(told.withColumn("line", F.when(F.col("asked"), F.col("line"))).drop("part", "asked"), "lines")
+    word, bit = F.expr(f"shiftrightunsigned(l0, {64 - WORD_BITS})"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(l0, {58 - WORD_BITS}) & 63 as int))")
+    bits = wanted.df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # 2^WORD_BITS rows at most
+    told = _named(lines).withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    seen = Stage(told.withColumn("line", F.when(F.col("bits").bitwiseAND(bit) != 0, F.col("line"))).drop("word", "bits"), "lines")
     asked = seen.df.select("l0", "l1", "line").filter(F.col("line").isNotNull())
     texts = Stage(asked.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
     wanted.drop()
