@@ -83,7 +83,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EV = "ev AS (SELECT event_type AS metric, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS ts, value, event_id AS seq FROM events)"
-L0 = f"{EV}, l0 AS (SELECT metric, ts // 600 * 600 AS slot_ts, arg_max(value, {{'t': ts, 's': seq}}) AS value FROM ev GROUP BY ALL)"
+L0 = f"{EV}, l0 AS (SELECT metric, ts // 600 * 600 AS slot_ts, arg_max(value, seq) AS value FROM ev GROUP BY ALL)"
 SQL_AGG = {"average": "avg(value)", "sum": "sum(value)", "last": "arg_max(value, slot_ts)", "max": "max(value)", "min": "min(value)"}
 
 
@@ -96,7 +96,7 @@ def levels_sql(agg: str, xff: int = XFF) -> str:
 
 
 def levels(spark: SparkSession, sf_dir: str, agg: str, xff: float = XFF) -> list[DataFrame]:
-    return T.cascade(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), LIST, xff, agg)
+    return T.cascade(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), LIST, xff, agg)
 
 
 USERS = "um AS (SELECT DISTINCT 'user.' || user_id || '.' || event_type AS metric FROM events)"
@@ -114,7 +114,7 @@ def slot_align(spark, sf_dir):
 
 @query(f"WITH {L0} SELECT * FROM l0")
 def slot_last_wins(spark, sf_dir):
-    return T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"])
+    return T.slot_last_wins(events(spark, sf_dir), 600, ["seq"])
 
 
 @query(f"WITH {EV} SELECT metric, ts // 600 * 600 AS slot_ts, max(value) AS value FROM ev GROUP BY ALL")
@@ -131,7 +131,7 @@ def vector_max_wins(spark, sf_dir):
 
 def _agg(name: str) -> None:
     def run(spark, sf_dir, name=name):
-        slots = T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"])
+        slots = T.slot_last_wins(events(spark, sf_dir), 600, ["seq"])
         return T.downsample(slots, 3600, name).withColumn("value", F.round("value", 6))
 
     run.__name__ = f"agg_{name}"
@@ -157,12 +157,12 @@ def aggregate_registry(spark, sf_dir):
 
 @query(f"WITH {L0}, u AS (SELECT max(slot_ts) // 7200 * 7200 AS upto FROM l0) SELECT metric, slot_ts, value FROM l0, u WHERE slot_ts < upto")
 def complete_units_only(spark, sf_dir):
-    return T.complete(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), S.propagation_unit(600, 3600, 2))
+    return T.complete(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), S.propagation_unit(600, 3600, 2))
 
 
 @query(f"WITH {L0}, d AS (SELECT metric, slot_ts, value, length(metric) % 2 AS file FROM l0), u AS (SELECT file, max(slot_ts) // 7200 * 7200 AS upto FROM d GROUP BY 1) SELECT d.metric, d.slot_ts, d.value, CAST(d.file AS INTEGER) AS file FROM d JOIN u ON d.file = u.file WHERE slot_ts < upto")
 def complete_units_per_file(spark, sf_dir):
-    slots = T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]).withColumn("file", F.length("metric") % 2)
+    slots = T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]).withColumn("file", F.length("metric") % 2)
     return T.complete(slots, 7200, ("file",)).select("metric", "slot_ts", "value", "file")
 
 
@@ -273,7 +273,7 @@ def buffers_due(spark, sf_dir):
 def hot_read(spark, sf_dir):
     from .streaming.ingest import hot_read as read
 
-    return read(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), "click", 600, NOW - 86400 + 300)
+    return read(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), "click", 600, NOW - 86400 + 300)
 
 
 @query(f"WITH {INDEX}, c AS (SELECT instance, schema, file_id, 8 - count(*) AS free FROM ix GROUP BY ALL) SELECT instance, schema, file_id, CAST(free AS INTEGER) AS free FROM c")
@@ -315,27 +315,27 @@ def merge_series(spark, sf_dir):
 
 @query(f"WITH {L0}, e AS (SELECT metric, min(slot_ts) AS lo, max(slot_ts) AS hi FROM l0 GROUP BY 1), g AS (SELECT metric, unnest(range(lo, least(hi, lo + 600 * 999) + 1, 600)) AS slot_ts FROM e) SELECT g.metric, g.slot_ts, l0.value FROM g LEFT JOIN l0 ON g.metric = l0.metric AND g.slot_ts = l0.slot_ts")
 def fill_gaps(spark, sf_dir):
-    return T.fill_gaps(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), 600, 1000)
+    return T.fill_gaps(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), 600, 1000)
 
 
 @query(f"WITH {L0}, g AS (SELECT metric, slot_ts, lag(slot_ts) OVER (PARTITION BY metric ORDER BY slot_ts) + 600 AS expected FROM l0) SELECT * FROM g WHERE slot_ts <> expected")
 def gap_detect(spark, sf_dir):
-    return T.gaps(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), 600)
+    return T.gaps(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), 600)
 
 
 @query(f"WITH {L0}, g AS (SELECT metric, slot_ts, row_number() OVER (PARTITION BY metric ORDER BY slot_ts) - 1 AS p, lag(slot_ts) OVER (PARTITION BY metric ORDER BY slot_ts) + 600 AS expected FROM l0) SELECT metric, CAST(min(p) AS INTEGER) AS position FROM g WHERE slot_ts <> expected AND p > 10 GROUP BY 1")
 def gap_first(spark, sf_dir):
-    return T.first_gap(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), 600, 10)
+    return T.first_gap(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), 600, 10)
 
 
 @query(f"WITH {L0}, g AS (SELECT metric, slot_ts, slot_ts - row_number() OVER (PARTITION BY metric ORDER BY slot_ts) * 600 AS island FROM l0) SELECT metric, min(slot_ts) AS start_ts, max(slot_ts) AS end_ts, count(*) AS points FROM g GROUP BY metric, island")
 def runs(spark, sf_dir):
-    return T.runs(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), 600)
+    return T.runs(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), 600)
 
 
 @query(f"WITH {L0}, g AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY slot_ts DESC) AS n FROM l0) SELECT metric, slot_ts, value, strftime(to_timestamp(slot_ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS shown FROM g WHERE n = 3")
 def point_at(spark, sf_dir):
-    got = T.point_at(T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]), -3)
+    got = T.point_at(T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]), -3)
     return got.withColumn("shown", S.shown_time(F.col("slot_ts")))
 
 
@@ -393,7 +393,7 @@ def batch_explode(spark, sf_dir):
 @query(f"WITH {EV}, c AS (SELECT metric, ts, seq, CAST(length(metric) % 3 AS INTEGER) AS instance FROM ev), n AS (SELECT *, ts // 3600 * 3600 AS hour FROM c), m AS (SELECT instance, metric, ts, seq, ts // 60 * 60 AS minute FROM n) SELECT instance, metric, ts, seq, minute, row_number() OVER (PARTITION BY instance, minute ORDER BY ts, seq) <= 1 AS admitted FROM m")
 def create_rate_limit(spark, sf_dir):
     c = events(spark, sf_dir).select((F.length("metric") % 3).alias("instance"), "metric", "ts", "seq")
-    return admin.admit(c, 1, ["ts", "seq"])
+    return admin.admit(c, 1, ["seq"])
 
 
 @query(f"WITH {EV}, s AS (SELECT seq % 2 AS instance, ts // 60 * 60 AS ts, metric, value FROM ev) SELECT 'tm.h_x.' || instance || '.' || n AS metric, ts, round(v, 6) AS value FROM (SELECT instance, ts, 'received' AS n, CAST(count(*) AS DOUBLE) AS v FROM s GROUP BY ALL UNION ALL SELECT instance, ts, 'largest', max(value) FROM s GROUP BY ALL UNION ALL SELECT instance, ts, 'meanValue', avg(value) FROM s GROUP BY ALL)")
@@ -411,9 +411,9 @@ def alter_rebuild(spark, sf_dir):
     return got[0].select(F.lit(0).alias("archive"), "*").unionByName(got[1].select(F.lit(1).alias("archive"), "*"))
 
 
-@query(f"WITH {EV}, a AS (SELECT metric, ts // 600 * 600 AS ts, arg_max(value, {{'t': ts, 's': seq}}) AS value FROM ev GROUP BY 1, 2), h AS (SELECT metric, ts, value + 1 AS value FROM a WHERE ts >= {NOW - 5 * 86400}) SELECT metric, ts, coalesce(h.value, a.value) AS value FROM a LEFT JOIN h USING (metric, ts)")
+@query(f"WITH {EV}, a AS (SELECT metric, ts // 600 * 600 AS ts, arg_max(value, seq) AS value FROM ev GROUP BY 1, 2), h AS (SELECT metric, ts, value + 1 AS value FROM a WHERE ts >= {NOW - 5 * 86400}) SELECT metric, ts, coalesce(h.value, a.value) AS value FROM a LEFT JOIN h USING (metric, ts)")
 def stitch_hot_points(spark, sf_dir):
-    stored = T.slot_last_wins(events(spark, sf_dir), 600, ["ts", "seq"]).withColumnRenamed("slot_ts", "ts")
+    stored = T.slot_last_wins(events(spark, sf_dir), 600, ["seq"]).withColumnRenamed("slot_ts", "ts")
     hot = stored.filter(F.col("ts") >= NOW - 5 * 86400).withColumn("value", F.col("value") + 1)
     return T.stitch(stored, hot)
 
@@ -453,4 +453,4 @@ def slot_arithmetic(spark, sf_dir):
 @query("WITH o AS (SELECT o_orderpriority AS metric, CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) // 86400 * 86400 AS slot_ts, arg_max(CAST(o_totalprice AS DOUBLE), o_orderkey) AS value FROM orders GROUP BY 1, 2) SELECT metric, slot_ts // 604800 * 604800 AS slot_ts, max(value) AS value FROM o WHERE slot_ts < (SELECT max(slot_ts) // 604800 * 604800 FROM o) GROUP BY 1, 2")
 def orders_weekly_max(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("metric"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_totalprice").cast("double").alias("value"), F.col("o_orderkey").alias("seq"))
-    return T.cascade(T.slot_last_wins(o, 86400, ["ts", "seq"]), [(86400, 3650), (604800, 1040)], 1, "max")[1]
+    return T.cascade(T.slot_last_wins(o, 86400, ["seq"]), [(86400, 3650), (604800, 1040)], 1, "max")[1]

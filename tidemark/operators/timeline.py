@@ -19,8 +19,8 @@ def align(points: DataFrame, step: int) -> DataFrame:
 
 
 def slot_last_wins(points: DataFrame, step: int, order: list[str]) -> DataFrame:
-    """One value per metric and slot: the last by ``order``, as a write buffer keeps it."""
-    return align(points, step).groupBy("metric", "slot_ts").agg(F.max_by("value", F.struct(*order)).alias("value"))
+    """One value per metric and slot: the last by ``order``, as a write buffer keeps it; one column of order is hashed, not sorted."""
+    return align(points, step).groupBy("metric", "slot_ts").agg(F.max_by("value", F.col(order[0]) if len(order) == 1 else F.struct(*order)).alias("value"))
 
 
 def slot_max_wins(points: DataFrame, step: int) -> DataFrame:
