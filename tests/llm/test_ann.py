@@ -1,6 +1,8 @@
 import numpy as np
 
+from tidemark.llm import ann
 from tidemark.llm.ann import nearest
+from tidemark.llm.common import Stage
 from tidemark.llm.hnsw import Graph
 
 SCHEMA = "vec_id long, embedding array<float>, vector string, query string"
@@ -72,3 +74,20 @@ def test_recall_on_the_embeddings(spark):
     want, found = brute(rows), got(vectors, shard_rows=400)
     assert set(want) == set(found)
     assert np.mean([len({i for i, _ in want[q]} & {i for i, _ in found[q]}) / max(len(want[q]), 1) for q in want]) >= 0.95
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """Blocks of queries are small, but go to every shard."""
+    plans = {}
+
+    class Told(Stage):
+        def __init__(self, df, tag, batch=None):
+            plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+            super().__init__(df, tag, batch)
+
+    monkeypatch.setattr(ann, "Stage", Told)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8)) for i in range(400)]
+    want, found = brute(rows), got(frame(spark, rows), shard_rows=20, width=64)
+    assert {q: [i for i, _ in v] for q, v in found.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert "SortMergeJoin" in plans["hits"] and "BroadcastExchange" not in plans["hits"]

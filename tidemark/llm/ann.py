@@ -143,7 +143,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, width: int = WIDTH
     index = Stage(sharded.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard").mapInArrow(_build(longest, kind), INDEX), "index", 1024)
     blocks = Stage(points.df.filter("asks").select("vid", "vector").repartition(F.xxhash64("vid") % (total // (every * QUERY_ROWS) + 1)).mapInArrow(_blocks(kind), "dim int, query_ids binary, queries binary"), "queries", 1024)
     spread = blocks.df.withColumn("part", F.explode(F.sequence(F.lit(0), count.cast("int") - 1))).withColumn("shard", F.concat_ws("-", "dim", "part")).drop("dim", "part")
-    pairs = spread.repartition(F.xxhash64("queries", "shard")).join(index.df, "shard")
+    # Blocks are small where Spark guesses their size, before each is repeated for every shard: a broadcast would fill the driver.
+    pairs = spread.join(index.df.hint("merge"), "shard")
     hits = Stage(pairs.mapInArrow(_search(k + 1, width, longest, kind), "query long, vid long, score double"), "hits", 4)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
     best = hits.df.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).join(points.df.select("vid", "ids"), "vid")
