@@ -1,6 +1,9 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from tidemark.llm.near import drop_near_copies, shingles, sketch
+from tidemark.llm import near
+from tidemark.llm.near import BANDS, drop_near_copies, shingles, sketch
+from tidemark.llm.simhash import voted
 from tests.llm.helpers import docs, roots
 
 
@@ -49,3 +52,21 @@ def test_nulls_blanks_and_repeats(spark):
     got = [(r.doc_id, r.text) for r in drop_near_copies(docs(spark, rows)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, None), (7, long + " end"), (8, "One two"), (None, "alone here"), (7, "other words stand in this one")]))
     assert drop_near_copies(docs(spark, [])).count() == 0
+
+
+def test_fingerprints_alone_find_what_is_within_three_bits(spark, monkeypatch):
+    """The same without MinHash's keys: of texts that fingerprints connect, those go that are alike."""
+    members_of, seen = near.members_of, []
+
+    def fingerprints_only(named, bands):
+        seen.append(bands)
+        return members_of(named.withColumn("bands", F.slice("bands", BANDS + 1, 1)), 1)
+
+    monkeypatch.setattr(near, "members_of", fingerprints_only)
+    texts = near_pairs(np.random.default_rng(4), 30, 0.001, 400) + near_pairs(np.random.default_rng(6), 10, 0.1, 100) + ["", "One two", "one  TWO"]
+    prints = [voted(shingles(t)) for t in texts]
+    within = roots([(i, j) for i in range(len(texts)) for j in range(i + 1) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1) if i == j or within[i] == within[j] and jaccard(texts[i], texts[j]) >= 0.8]
+    got = {r.doc_id for r in drop_near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    assert seen == [BANDS + 1] and len(pairs) > len(texts) + 15
+    assert got == set(roots(pairs).values())

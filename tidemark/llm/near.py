@@ -1,4 +1,4 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, an exact bound by parity sketches, exact verification, union-find."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash by Golay keys, MinHash bands for what lies beyond its reach, an exact bound by parity sketches, exact verification, union-find."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, Stage, batches_of, salted_join, sheltered, tidy
+from .common import TEXT_BATCH, Stage, batches_of, join_by_group, salted_join, sheltered, tidy
+from .graph import components
 from .groups import ALIKE, WORDS, members_of, roots_of
+from .simhash import fingerprint_links, voted
 
 SHINGLE = 5
 #: At a similarity of 0.8, sixteen bands of four independent rows bring 99.98 % of pairs together.
@@ -73,8 +75,9 @@ def _signed(width: int):
             sets = [shingles(t, width) for t in batch.column(2).to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             keys = pa.array([bands(s).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64()))
+            prints = pa.array(np.array([voted(s) for s in sets], dtype=np.uint64).view(np.int64))
             places = np.array([sketch(s) for s in sets], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), keys, *[pa.array(np.ascontiguousarray(places[:, i])) for i in range(WORDS)]], ["row", "rank", "node", "size", "bands", *_NAMES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), prints, keys, *[pa.array(np.ascontiguousarray(places[:, i])) for i in range(WORDS)]], ["row", "rank", "node", "size", "fp", "bands", *_NAMES])
 
     return sign
 
@@ -103,18 +106,30 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ra", "rb", "x", "y").mapInArrow(_checked, "a long, b long, ra long, rb long")
 
 
+def _keyed(nodes: DataFrame, total: int) -> DataFrame:
+    """``nid, bands`` of ``node, fp, bands``, with one more key: nodes share it whose fingerprints are within three bits, over any number of steps."""
+    named = nodes.filter("bands is not null").select(F.col("node").alias("nid"), "fp", "bands")
+    prints = Stage(named.groupBy("fp").agg(F.count("*").alias("n")), "prints")
+    roots = components(fingerprint_links(prints.df.select("fp"))).select(F.col("node").alias("fp"), "root")
+    groups = prints.df.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    return join_by_group(named, groups, "fp", "n", total).select("nid", F.concat("bands", F.array(F.xxhash64(F.lit(BANDS), "root"))).alias("bands"))
+
+
 @tidy
 def near_copies(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``node, root, first`` of documents ``row, rank, text``, one row per distinct set of shingles: ``first`` is the least (rank, row) that has it.
 
-    Texts with equal sets are one node. Nodes that share a band are compared by sketch, which rules out only what can't be
+    Texts with equal sets are one node. A node's fingerprint is the SimHash of its shingles; what Golay keys connect within three bits
+    is a band like those of MinHash, which bring together what lies further apart. Nodes that share a band are compared by sketch, which rules out only what can't be
     alike, and verified on the whole sets, as ``roots_of`` says; no pair of a band is left out.
     """
     words = ", ".join(f"{n} long" for n in _NAMES)
-    signed = Stage(docs.mapInArrow(_signed(width), f"row long, rank long, node long, size int, bands array<long>, {words}"), "signed", TEXT_BATCH)
-    nodes = Stage(signed.df.groupBy("node").agg(F.min(F.struct("rank", "row")).alias("first"), *[F.first(c).alias(c) for c in ("size", "bands", *_NAMES)]), "nodes")
+    signed = Stage(docs.mapInArrow(_signed(width), f"row long, rank long, node long, size int, fp long, bands array<long>, {words}"), "signed", TEXT_BATCH)
+    nodes = Stage(signed.df.groupBy("node").agg(F.min(F.struct("rank", "row")).alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "bands", *_NAMES)]), "nodes")
     signed.drop()
-    held, two = members_of(nodes.df.select(F.col("node").alias("nid"), "bands"), BANDS)
+    keyed = Stage(_keyed(nodes.df, nodes.count()), "keyed")
+    held, two = members_of(keyed.df, BANDS + 1)
+    keyed.drop()
     members = Stage(held.df.join(nodes.df.select(F.col("node").alias("nid"), "size", *_NAMES), "nid").withColumn("root", F.col("nid")), "members")
     wanted = held.df.select(F.col("nid").alias("node")).unionByName(two.df.select(F.explode(F.array("a", "b")).alias("node"))).distinct().join(nodes.df, "node").select("node", F.col("first.rank").alias("rank"), F.col("first.row").alias("row"))
     texts = docs.join(wanted, ["rank", "row"]).groupBy("node").agg(F.first("text").alias("text"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_BATCH, Stage, join_by_group, tidy
 from .graph import components
-from .near import drop_near_copies  # noqa: F401
 
 MOST_BITS = 3
 SHINGLE = 3
@@ -29,6 +28,15 @@ HELD_PAIRS = 1 << 17
 GENERATOR = 0b110001110101
 
 
+def voted(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: the bits that over half of them have; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """The unsigned 64-bit SimHash of a text's word shingles; 0 without words."""
     words = (text or "").encode().lower().split()
@@ -39,12 +47,7 @@ def fingerprint(text: str | None) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype=">u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start : start + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return voted(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,3 +305,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = nodes.count()
     of = Stage(join_by_group(named, lowest, "root", "members", total).select("fp", "n", "component_id"), "components")
     return join_by_group(prints.df, of.df, "fp", "n", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, **named) -> DataFrame:
+    """The input's rows of which one of each group of near copies stays, as ``near`` says, which finds them by these keys too."""
+    from .near import drop_near_copies as drop
+
+    return drop(docs, **named)
