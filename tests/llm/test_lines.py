@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.lines import ALIKE, SHINGLE, dedup_lines, drop_repeated_lines, shingles, signatures
+from tidemark.llm import groups
+from tidemark.llm.common import Stage
+from tidemark.llm.lines import ALIKE, SHINGLE, dedup_lines, drop_repeated_lines, line_roots, shingles, signatures
 from tests.llm.helpers import docs, roots
 
 
@@ -81,3 +83,34 @@ def test_recall_of_bands_by_length(spark):
         lines = spark.createDataFrame([(2 * i + j, j, p[j]) for i, p in enumerate(pairs) for j in (0, 1)], "l0 long, l1 long, line string")
         bands = {r.l0: set(r.bands) for r in signatures(lines).collect()}
         assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(400)) / 400 >= least, length
+
+
+def test_only_lines_that_matter_are_written(spark):
+    """Of lines, those that repeat or share a band with another; the text only of these last."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    alone, twice, near = [text(60) for _ in range(300)], text(60), text(200)
+    every = [*alone, twice, near, near[:-3], twice, twice]
+    moved, seen = line_roots(spark.createDataFrame(list(enumerate(every)), "pos long, line string"))
+    got = {r.pos: r.line for r in seen.df.collect()}
+    assert {300, 301, 302, 303, 304} <= got.keys() and len(got) < 20
+    assert (got[301], got[302], got[300]) == (near, near[:-3], None)
+    assert moved.count() == 1
+
+
+def test_small_bands_are_compared_without_centres(spark, monkeypatch):
+    """Bands of several groups of alike members: roots are the same with rounds of centres and without, and small bands take two comparisons only."""
+    rows = [(band, 12, 100 * band, 100 * band + i) for band in range(20) for i in range(12)]
+    for place, least, most in ((groups.PLACE, 2, 2), (4, 3, 9)):
+        monkeypatch.setattr(groups, "PLACE", place)
+        calls = []
+
+        def verify(pairs):
+            calls.append(pairs.count())
+            return pairs.filter("a % 100 % 3 = b % 100 % 3")
+
+        base = spark.createDataFrame(rows, "band long, n long, first long, nid long").withColumns({"root": F.col("nid"), "size": F.lit(50), **{f"w{w}": F.lit(0).cast("long") for w in range(groups.WORDS)}})
+        two = spark.createDataFrame([(9001, 9000), (9004, 9000)], "a long, b long")
+        got = {r.node: r.root for r in groups.roots_of(Stage(base, "members"), Stage(two, "two"), verify).df.collect()}
+        assert got == {100 * band + i: 100 * band + i % 3 for band in range(20) for i in range(3, 12)}
+        assert least <= len(calls) <= most

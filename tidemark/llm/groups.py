@@ -14,6 +14,8 @@ from .graph import components
 
 #: 64-bit words of a sketch; centres that a band's other members are compared with in a round; rows of a band that one place of a join takes.
 WORDS, CENTRES, PLACE = 16, 8, 4096
+#: Comparisons of sketches that a row outside its band's commonest root may cost, on average, before centres are tried; a round of centres costs about as much.
+EACH = 128
 #: Rows of 24 bytes that may be broadcast.
 FEW = 200_000
 #: Least similarity, as a fraction.
@@ -64,27 +66,37 @@ class Grouping:
     """Members of bands ``band, n, nid, size, w0.., root``, and the root of each member that isn't its own."""
 
     def __init__(self, members: Stage):
-        self.members = members
+        self.members, self.costly = members, True
         self.roots = Stage(members.df.select(F.col("nid").alias("node"), "root").limit(0), "roots")
 
-    def merge(self, links: Stage) -> bool:
-        """Take in links between roots; then only bands that still hold several roots stay.
-
-        ``most`` is a band's commonest root. Whether at least a tenth as many roots went as rows are still outside it.
-        """
+    def settle(self, links: Stage) -> Stage:
+        """Take in links between roots, in ``roots`` only: ``node, root`` of the roots that went."""
         moved = Stage(components(links.df), "moved")
         links.drop()
         to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
         old = self.roots.df.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         roots, was = Stage(old.unionByName(moved.df), "roots"), self.roots
+        self.roots = roots
+        was.drop()
+        return moved
+
+    def merge(self, links: Stage) -> bool:
+        """Take in links between roots; then only bands that still hold several roots stay.
+
+        ``most`` is a band's commonest root. Whether at least a tenth as many roots went as rows are still outside it. ``costly``: whether
+        these are too many to compare each with all of its band, or a band is crowded.
+        """
+        moved = self.settle(links)
+        to = moved.df.select(F.col("node").alias("root"), F.col("root").alias("to"))
         own, had = self.members.df.drop("most"), self.members
         named = own.select("band", "root").join(to, "root", "left").select("band", F.coalesce("to", "root").alias("root"))
         each = named.groupBy("band", "root").agg(F.count("*").alias("own"))
-        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots"), F.sum("own").alias("rows")).filter("roots > 1").select("band", F.col("top.root").alias("most"), (F.col("rows") - F.col("top.own")).alias("apart")), "open")
+        bands = Stage(each.groupBy("band").agg(F.max(F.struct("own", "root")).alias("top"), F.count("*").alias("roots"), F.sum("own").alias("rows")).filter("roots > 1").select("band", F.col("top.root").alias("most"), (F.col("rows") - F.col("top.own")).alias("apart"), "rows"), "open")
         self.members = Stage(own.join(bands.df.select("band", "most"), "band").join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "members")
-        self.roots = roots
-        went = 10 * moved.count() >= (bands.df.agg(F.sum("apart")).first()[0] or 0)
-        for stage in (was, had, moved, bands):
+        apart, each, most = bands.df.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.coalesce(F.sum(F.col("apart").cast("double") * F.col("rows")), F.lit(0.0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+        went = 10 * moved.count() >= apart
+        self.costly = each > EACH * apart or most > PLACE
+        for stage in (had, moved, bands):
             stage.drop()
         return went
 
@@ -103,7 +115,7 @@ def roots_of(members: Stage, two: Stage, verify: Callable[[DataFrame], DataFrame
 
     ``verify`` tells which pairs ``a, b, ..`` are alike; joins of members rule out, by sketch, pairs that can't be. First each member is
     compared with its band's first one. Of bands that still hold several roots, all members outside the commonest root are compared
-    with some of that root's, in rounds, as long as these connect much; then with all members of the band that have another root.
+    with some of that root's, in rounds, as long as these connect much and bands are large; then with all members of the band that have another root.
     So most of a large group is connected by few pairs, and no pair of a band is left out. A band's members that no
     pair connects are compared by sketch with all of the band, dealt over many tasks. ``members`` and ``two`` are deleted.
     """
@@ -111,8 +123,8 @@ def roots_of(members: Stage, two: Stage, verify: Callable[[DataFrame], DataFrame
     pairs = two.df.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
     found.merge(_compared(members.df.filter("nid <> first"), members.df.filter("nid = first"), verify, pairs))
     two.drop()
-    while found.merge(_compared(found.apart(), found.centres(nth), verify)) and not found.members.df.isEmpty():
+    while found.costly and found.merge(_compared(found.apart(), found.centres(nth), verify)):
         nth += 1
-    found.merge(_compared(found.members.df, found.apart(), verify))
+    found.settle(_compared(found.members.df, found.apart(), verify)).drop()
     found.members.drop()
     return found.roots

@@ -62,16 +62,16 @@ def _ordered(h: Column, i: int) -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """``l0, l1, bands`` of lines ``l0, l1, line``, one row a distinct line: of each order of shingles the least, hashed band by band.
+    """``l0, l1, n, bands`` of lines ``l0, l1, line``, one row a distinct line: its number, and of each order of shingles the least, hashed band by band.
 
     A row hashes a chunk of shingles and takes its least values before rows meet; a last chunk repeats its last shingle.
     """
     wide = lines.select("l0", "l1", _wide(F.col("line")).alias("wide"))
     chunks = wide.select("l0", "l1", "wide", _last(F.col("wide")).alias("last"), F.explode(F.sequence(F.lit(0), _last(F.col("wide")), F.lit(CHUNK))).alias("at"))
-    hashed = chunks.select("l0", "l1", *[_hash(F.col("wide"), F.least(F.col("at") + k, F.col("last"))).alias(f"h{k}") for k in range(CHUNK)])
-    least = hashed.groupBy("l0", "l1").agg(*[F.min(F.least(*[_ordered(F.col(f"h{k}"), i) for k in range(CHUNK)])).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    hashed = chunks.select("l0", "l1", "at", *[_hash(F.col("wide"), F.least(F.col("at") + k, F.col("last"))).alias(f"h{k}") for k in range(CHUNK)])
+    least = hashed.groupBy("l0", "l1").agg(F.count(F.when(F.col("at") == 0, True)).alias("n"), *[F.min(F.least(*[_ordered(F.col(f"h{k}"), i) for k in range(CHUNK)])).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    return least.select("l0", "l1", F.array(*keys).alias("bands"))
+    return least.select("l0", "l1", "n", F.array(*keys).alias("bands"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -104,32 +104,33 @@ def _named(lines: DataFrame) -> DataFrame:
 
 
 def line_roots(lines: DataFrame) -> tuple[Stage, Stage]:
-    """``l0, l1, k0, k1``: the names of lines and of their roots where these differ; and all lines without blank ones, by name.
+    """``l0, l1, k0, k1``: the names of lines and of their roots where these differ; and by name all lines that repeat or share a band with another, among few more.
 
-    Lines are read twice: once for their signatures, and once to be written without their text, but for those that share a band with
-    another. ``lines``: line and any columns.
+    Lines are read twice: once for their signatures, and once to be written, with their text if they share a band. No other
+    line can be removed or be the first of several. ``lines``: line and any columns.
     """
     named = Stage(signatures(_named(lines.select("line"))).withColumn("nid", F.monotonically_increasing_id()), "bands")
     held, two = members_of(named.df.select("nid", "bands"), BANDS)
     paired = two.df.select(F.explode(F.array("a", "b")).alias("nid"))
     wanted = Stage(held.df.select("nid").unionByName(paired).distinct().join(named.df, "nid").select("nid", "l0", "l1"), "wanted")
     word, bit = F.expr(f"shiftrightunsigned(l0, {64 - WORD_BITS})"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(l0, {58 - WORD_BITS}) & 63 as int))")
-    bits = wanted.df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # 2^WORD_BITS rows at most
-    told = _named(lines).withColumn("word", word).join(F.broadcast(bits), "word", "left")
-    seen = Stage(told.withColumn("line", F.when(F.col("bits").bitwiseAND(bit) != 0, F.col("line"))).drop("word", "bits"), "lines")
-    asked = seen.df.select("l0", "l1", "line").filter(F.col("line").isNotNull())
-    texts = Stage(asked.join(wanted.df, ["l0", "l1"]).groupBy("nid").agg(F.first("line").alias("line")), "texts")
-    wanted.drop()
+    marked = wanted.df.select("l0", F.lit(True).alias("paired")).unionByName(named.df.filter("n > 1").select("l0", F.lit(False).alias("paired")))
+    bits = marked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("any"), F.bit_or(F.when(F.col("paired"), bit)).alias("paired"))  # 2^WORD_BITS rows at most
+    told = _named(lines).withColumn("word", word).join(F.broadcast(bits), "word").filter(F.col("any").bitwiseAND(bit) != 0)
+    seen = Stage(told.withColumn("line", F.when(F.col("paired").bitwiseAND(bit) != 0, F.col("line"))).drop("word", "any", "paired"), "lines")
+    named.drop()
+    asked = seen.df.filter(F.col("line").isNotNull()).groupBy("l0", "l1").agg(F.first("line").alias("line"))
+    texts = Stage(asked.join(wanted.df, ["l0", "l1"]).select("nid", "line"), "texts")
     sketched = sketches(texts.df.join(held.df.select("nid").distinct(), "nid", "left_semi"))
     members = Stage(held.df.join(sketched, "nid").withColumn("root", F.col("nid")), "members")
     held.drop()
     roots = roots_of(members, two, lambda pairs: verified(pairs, texts.df))
     texts.drop()
-    name = named.df.select("nid", "l0", "l1")
+    name = wanted.df
     other = roots.df.join(name.select(F.col("nid").alias("root"), F.col("l0").alias("k0"), F.col("l1").alias("k1")), "root").withColumnRenamed("node", "nid").join(name, "nid")
     moved = Stage(other.select("l0", "l1", "k0", "k1"), "moved")
     roots.drop()
-    named.drop()
+    wanted.drop()
     return moved, seen
 
 
